@@ -114,8 +114,9 @@ def _plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
     frac = F.greatest(F.lit(0.0), rate - base)
     joined = staged(joined.withColumn("base", base).withColumn("p", F.when(frac < 1e-12, F.lit(0.0)).otherwise(frac)), "units")
     ups = round_fractions(joined.where("p > 0 and size > 0").select("source", "doc_id", F.col("size").cast("double").alias("w"), "p"), seed)
-    same = joined["source"].eqNullSafe(ups["source"]) & joined["doc_id"].eqNullSafe(ups["doc_id"])
-    out = joined.join(ups, same, "left").select(joined["source"], joined["doc_id"], "size", "source_size", "target", (F.col("base") + F.coalesce("up", F.lit(0))).alias("copies"))
+    ups = ups.select(F.col("source").alias("_us"), F.col("doc_id").alias("_ud"), "up")
+    same = F.col("source").eqNullSafe(F.col("_us")) & F.col("doc_id").eqNullSafe(F.col("_ud"))
+    out = joined.join(ups, same, "left").select("source", "doc_id", "size", "source_size", "target", (F.col("base") + F.coalesce("up", F.lit(0))).alias("copies"))
     return rows, out
 
 
@@ -135,7 +136,7 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, copies, taken (= copies * size)."""
     rows, plan = _plan(docs, **options)
     plan = plan.select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), "source_size", "target", "copies")
-    found = rows.join(plan, rows["source"].eqNullSafe(plan["_s"]) & rows["doc_id"].eqNullSafe(plan["_d"]))
+    found = rows.join(plan, F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")))
     return found.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
