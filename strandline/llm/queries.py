@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from .common import load
 from .decontaminate import decontamination_report
+from .language import identify
+from .lines import line_report
 from .mixing import mix_report
+from .pii import pii_report
 from .simhash import near_duplicates
+from .toxicity import toxicity
 from .warc import archive_report
 
 
@@ -17,6 +21,11 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), distance=4, words=4)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 3: learns outside the fold crc32 mod 3 = 1, predicts every document."""
+    return identify(load(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of operator 4: pages written as WARC records, and what the archives say of them."""
     return archive_report(load(spark, sf_dir, "pages")).drop("target_uri")
@@ -28,16 +37,35 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 on all documents: lines on 10 or more sources go, but for their first occurrence."""
+    return line_report(load(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 7: base patterns and additions of all documents."""
+    return pii_report(load(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of operator 8: all documents, weights 5, 2, 1, 150 % of all words, capped at 2."""
     return mix_report(load(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 10: learns labels outside the fold crc32 mod 5 = 0, scores every document."""
+    return toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_language_id": op3_language_id,
     "op4_warc": op4_warc,
     "op5_decontaminate": op5_decontaminate,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_pii": op7_pii,
     "op8_mix_sources": op8_mix_sources,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -63,4 +91,12 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op6_line_dedup": r"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+k AS (SELECT *, trim(line, ' ') AS key FROM l),
+b AS (SELECT key, min((doc_id, pos)) AS first FROM k WHERE length(key) >= 16 GROUP BY key HAVING count(DISTINCT source) + max((source IS NULL)::INT) >= 10),
+m AS (SELECT k.doc_id, k.pos, k.line, b.key IS NOT NULL AND (k.doc_id, k.pos) <> b.first AS gone FROM k LEFT JOIN b USING (key)),
+c AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS clean FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(clean, '')) AS clean_sha256
+FROM documents d LEFT JOIN c USING (doc_id)""",
 }
