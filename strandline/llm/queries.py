@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import load
 from .decontaminate import decontamination_report
+from .embeddings import similar_vectors
 from .language import identify
 from .lines import line_report
 from .mixing import mix_report
@@ -52,6 +53,11 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(load(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of operator 9: all vectors whatever their labels, links at cosine 0.9 or more."""
+    return similar_vectors(load(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of operator 10: learns labels outside the fold crc32 mod 5 = 0, scores every document."""
     return toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
@@ -65,6 +71,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_pii": op7_pii,
     "op8_mix_sources": op8_mix_sources,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
