@@ -11,12 +11,18 @@ from .embeddings import similar_vectors
 from .language import identify
 from .lines import line_report
 from .mixing import mix_report
+from .passages import repeated_passages
 from .pii import pii_report
 from .simhash import near_duplicates
 from .toxicity import toxicity
 from .warc import archive_report
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 on all documents: passages that two documents or more share, each with where it is kept."""
+    return repeated_passages(load(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of operator 2: 4-word shingles, links at 4 or fewer differing bits."""
     return near_duplicates(load(spark, sf_dir, "documents"), distance=4, words=4)
@@ -64,6 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_language_id": op3_language_id,
     "op4_warc": op4_warc,
