@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("reads", "kmers", "intervals")
+MODULES = ("reads", "kmers", "intervals", "overlaps", "correction")
 
 
 def collect() -> tuple[dict, dict]:
