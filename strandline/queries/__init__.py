@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("reads", "kmers", "intervals", "overlaps", "correction", "trimming", "graph", "layouts")
+MODULES = ("reads", "kmers", "intervals", "overlaps", "correction", "trimming", "graph", "layouts", "kernels")
 
 
 def collect() -> tuple[dict, dict]:
