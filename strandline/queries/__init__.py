@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("reads", "kmers", "intervals", "overlaps", "correction", "trimming", "graph", "layouts", "kernels", "formats")
+MODULES = ("reads", "kmers", "intervals", "overlaps", "correction", "trimming", "graph", "layouts", "kernels", "formats", "assembly")
 
 
 def collect() -> tuple[dict, dict]:
