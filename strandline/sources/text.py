@@ -26,12 +26,8 @@ def fasta_records(rec: DataFrame) -> DataFrame:
     return rec.where(F.trim("value") != "").select(F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.trim(F.regexp_extract(head, r"^\S*(.*)", 1)).alias("flags"), seq.alias("seq"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(name, flags, seq, qual) of four-line records; a record begins at a line with @ whose next but one line begins with +."""
-    return fastq_records(spark.read.option("wholetext", "true").text(path))
-
-
 def fastq_records(files: DataFrame) -> DataFrame:
+    """(name, flags, seq, qual) of texts (value) of whole four-line records; files are read by sources.fastq."""
     recs = F.regexp_extract_all("value", F.lit(r"(?m)^@[^\n]*\n[^\n]*\n\+[^\n]*\n[^\n]*"), 0)
     r = files.select(F.explode(recs).alias("r")).select(F.split("r", "\n").alias("l"))
     return r.select(F.regexp_extract(F.col("l")[0], r"^@(\S*)", 1).alias("name"), F.trim(F.regexp_extract(F.col("l")[0], r"^@\S*(.*)", 1)).alias("flags"), F.trim(F.col("l")[1]).alias("seq"), F.trim(F.col("l")[3]).alias("qual"))
