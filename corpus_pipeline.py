@@ -27,8 +27,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: one document of each group stays, the one with the smallest id; shingles of five words."""
-    return drop_near_duplicates(docs, distance=4, words=5)
+    """Operator 2: one document of each group stays, the one with the smallest id; shingles of five words, similarity 0.8."""
+    return drop_near_duplicates(docs, similarity=0.8, words=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

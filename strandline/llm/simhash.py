@@ -206,12 +206,13 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, id_col:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", similarity: float | None = None, **options) -> DataFrame:
     """One row of each group stays, the one with the smallest id; all columns as they were.
 
-    Rows that share that id are reduced to one by their content, null ids to one row per group.
+    Groups are those of ``near_duplicates``, or of ``similar_documents`` if a ``similarity`` is given. Rows that share that id are reduced to one by their content, null ids to one row per group.
     """
-    keep = near_duplicates(docs, id_col=id_col, **options).where("kept").select(F.col("doc_id").alias("_d")).distinct()
+    groups = near_duplicates(docs, id_col=id_col, **options) if similarity is None else similar_documents(docs, similarity, id_col=id_col, **options)
+    keep = groups.where("kept").select(F.col("doc_id").alias("_d")).distinct()
     found = docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["_d"]), "left_semi")
     # only repeated ids need a second look
     many = staged(docs.groupBy(F.col(id_col).alias("_d")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_d"), "repeated")
@@ -220,3 +221,137 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) ->
     twice = found.join(many, found[id_col].eqNullSafe(many["_d"]), "left_semi")
     once = found.join(many, found[id_col].eqNullSafe(many["_d"]), "left_anti")
     return once.unionByName(twice.groupBy(id_col).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_r")).select("_r.*"))
+
+
+# Similarity mode: wide fingerprints, whose distance tells the similarity, and sampled grids.
+
+#: Words of a wide fingerprint, wished recall at the threshold, chance points of a cell, largest cell compared by lag.
+PARTS, RECALL, CELL_POINTS, LAGS = 4, 0.95, 12, 40
+_PART_SEEDS = [xxhash.xxh64_intdigest(b"part", k) | 1 for k in range(PARTS)]
+
+
+def wide_fingerprint(text: bytes | None, words: int = 5) -> list[int]:
+    """PARTS words of 64 bits: the majority of as many independent remixes of each shingle's hash."""
+    h = np.array(shingle_hashes(text, words), np.uint64)
+    out = []
+    for seed in _PART_SEEDS:
+        x = h * np.uint64(seed)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+        bits = 2 * _bit_counts(x ^ (x >> np.uint64(32))) > len(h)
+        out.append(int(np.packbits(bits, bitorder="little").view(np.uint64)[0]))
+    return out
+
+
+def flip_rate(similarity: float) -> float:
+    """Chance that a bit differs for two shingle sets of equal size at a Jaccard similarity: the angle of their vectors over pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def distance_limit(similarity: float) -> int:
+    """Differing bits up to which documents link: the expectation at the threshold plus 1.25 standard deviations (nine of ten such pairs)."""
+    p, n = flip_rate(similarity), 64 * PARTS
+    return round(n * p + 1.25 * math.sqrt(n * p * (1 - p)))
+
+
+def sampled_grids(n: int, similarity: float, seed: int = 5) -> list[list[int]]:
+    """Masks of the segments that each grid's cells agree in: enough segments for CELL_POINTS chance points in a cell,
+    and enough grids for RECALL at the threshold."""
+    p = flip_rate(similarity)
+    same = (1 - p) ** 2 + p * p / 2
+    k = max(4, min(32 * PARTS, round(math.log(max(n, 2) / CELL_POINTS) / math.log(8 / 3))))
+    r = np.random.default_rng([seed, k])
+    out = []
+    for _ in range(math.ceil(math.log(1 - RECALL) / math.log(1 - same**k))):
+        some = r.choice(32 * PARTS, k, replace=False)
+        out.append([sum(3 << (2 * int(s % 32)) for s in some if s // 32 == w) for w in range(PARTS)])
+    return out
+
+
+def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+
+
+def _wide_edges(limit: int):
+    def flush(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        size = np.diff(cut)
+        of = np.repeat(size, size)
+        uv = embed(fp)
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        small = size[size <= LAGS].max(initial=1)
+        for d in range(1, min(small, len(key))):  # small cells at once, by lag
+            i = np.flatnonzero((of[:-d] <= LAGS) & (key[:-d] == key[d:]))
+            i = i[_far(uv[i, :1], uv[i + d, :1]) <= limit]  # the Manhattan bound of one word, then of all, then exactly
+            i = i[_far(uv[i], uv[i + d]) <= limit]
+            i = i[_far(fp[i], fp[i + d]) <= limit]
+            a.append(node[i])
+            b.append(node[i + d])
+        for k in np.flatnonzero(size > LAGS):  # spanning edges of large ones
+            x, y, left, todo = fp[cut[k] : cut[k + 1]], node[cut[k] : cut[k + 1]], np.arange(1, size[k]), [0]
+            while len(left):
+                if not todo:
+                    todo, left = [int(left[0])], left[1:]
+                    continue
+                i = todo.pop()
+                near = _far(x[left], x[i]) <= limit
+                a.append(np.full(int(near.sum()), y[i]))
+                b.append(y[left[near]])
+                todo += left[near].tolist()
+                left = left[~near]
+        e = np.stack([np.concatenate(a), np.concatenate(b)], 1)
+        e = np.unique(np.sort(e, axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node, fp = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, PARTS), np.uint64)
+        for x in batches:
+            key = np.concatenate([key, x.column(0).to_numpy()])
+            node = np.concatenate([node, x.column(1).to_numpy()])
+            fp = np.concatenate([fp, np.stack([x.column(2 + k).to_numpy().view(np.uint64) for k in range(PARTS)], 1)])
+            end = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            if end:
+                yield flush(key[:end], node[:end], fp[:end])
+                key, node, fp = key[end:], node[end:], fp[end:]
+        if len(key):
+            yield flush(key, node, fp)
+
+    return run
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id, kept) of every row: links at a shingle similarity of ``similarity`` or more, as wide fingerprints tell it.
+
+    At such a threshold fingerprints of 64 bits differ in ten bits and more, so they have PARTS * 64 bits
+    here, and grids are sampled: a pair at the threshold shares a cell with probability RECALL, closer ones
+    more surely. The number of grids grows as about the third root of the number of documents. Nulls, empty
+    texts, repeated rows and empty tables are treated as in ``near_duplicates``.
+    """
+    names = [f"f{k}" for k in range(PARTS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([wide_fingerprint(t, words) for t in as_bytes(b.column(1))], np.uint64).reshape(-1, PARTS)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(PARTS)]], names=["doc_id", *names])
+
+    rows = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)))
+    fp = map_arrow(rows, run, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in names))
+    fp = staged(fp.withColumn("node", F.xxhash64(*names)), "fingerprints")
+    reps = staged(fp.groupBy("node", *names).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "reps")
+    grids_ = F.array(*[F.array(*[F.lit(_signed(m)) for m in g]) for g in sampled_grids(reps.count(), similarity)])
+    even = F.lit(_signed(int(EVEN)))
+
+    def unary(c: str):
+        some = F.col(c).bitwiseOR(F.shiftrightunsigned(c, 1)).bitwiseAND(even)
+        return some.bitwiseOR(F.shiftleft(F.col(c).bitwiseAND(F.shiftrightunsigned(c, 1)).bitwiseAND(even), 1))
+
+    cells = reps.select("node", *names, *[unary(c).alias(f"u{k}") for k, c in enumerate(names)], F.posexplode(grids_).alias("grid", "mask"))
+    cells = cells.select(F.xxhash64("grid", *[F.col(f"u{k}").bitwiseAND(F.col("mask")[k]) for k in range(PARTS)]).alias("cell"), "node", *names)
+    ready = spread_by(cells, "cell").sortWithinPartitions("cell")
+    edges = staged(map_arrow(ready, _wide_edges(distance_limit(similarity)), "a bigint, b bigint").distinct(), "edges")
+    labels = connected_components(edges)
+    joined = reps.select("node", "first", "n").join(labels, "node", "left").select("node", "first", "n", F.coalesce("component", "node").alias("label"))
+    joined = staged(joined, "labels")
+    least = joined.groupBy("label").agg(F.min("first").alias("component_id"))
+    table = staged(joined.join(least, "label").select("node", "n", "component_id"), "components")
+    out = lookup(fp.select("doc_id", "node"), table, "node", "n")
+    return out.select("doc_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -104,3 +104,30 @@ def test_keep_one_and_edges(spark):
     assert got[0].asDict().keys() == {"doc_id", "text", "fp", "n"}
     assert near_duplicates(df.limit(0)).collect() == []
     assert drop_near_duplicates(df.limit(0)).collect() == []
+
+
+def test_similarity_mode(spark):
+    """Against all pairs of shingle sets: what is well above the threshold is found, what is well below is not."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 5)))
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(r.randint(80, 300))]
+        texts.append(base)
+        for share in (0.004, 0.01, 0.2):
+            texts.append([word() if r.random() < share else w for w in base])
+    rows = [(i, " ".join(t), "clash", 1) for i, t in enumerate(texts)] + [(500, None, None, 1), (501, "", None, 1), (None, rows_text := " ".join(texts[0]), None, 1), (0, rows_text, None, 1)]
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    high = low = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            if j >= 0.86:
+                high += 1
+                assert got[a] == got[b], j
+            elif j < 0.5:
+                low += got[a] == got[b]
+    assert high > 50 and low == 0
+    assert got[500] == got[501] == 500 and got[None] == 0
+    assert simhash.similar_documents(spark.createDataFrame(rows, SCHEMA).limit(0)).collect() == []
