@@ -35,7 +35,7 @@ SSN = re.compile(r"[ :#.]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 NUMBER = re.compile(r"(?:[ ]?(?:no|nr|number|id)\b)?[ :#.=]{1,4}([A-Z0-9][A-Z0-9-]{4,22}[A-Z0-9])(?![A-Za-z0-9-])")
 VALUE = re.compile(r"[ ]?[=:][ ]?['\"]?([^\s'\"&,;]{6,200})")
 AWS = re.compile(r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")
-USERINFO = re.compile(r"[^\s/@:]{1,100}(?::[^\s/@]{1,100})?@[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s\"'<>]*)?")
+USERINFO = re.compile(r"[^\s/@:]{1,100}(?::[^\s/@]{1,100})?@[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s\"'<>,;]*)?")
 
 #: Cues by the parser that they announce; each also with its first or all letters in upper case.
 CUES = {

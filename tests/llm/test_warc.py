@@ -34,8 +34,7 @@ def test_pushdown_and_headers_only(spark, tmp_path):
     path = warc.archive_pages(df, str(tmp_path / "w"))
     r = warc.read_archives(spark, path)
     some = r.where("record_type = 'revisit' and target_uri like 'http://%'")
-    assert "PushedFilters" not in some._jdf.queryExecution().toString() or some.count() == 3
-    assert {x.record_id for x in some.collect()} == {"urn:page:5", "urn:page:null", "urn:page:2"} - {"urn:page:2"} or some.count() >= 2
+    assert sorted(x.record_id for x in some.collect()) == sorted(x.record_id for x in r.collect() if x.record_type == "revisit" and (x.target_uri or "").startswith("http://"))
     heads = warc.read_archives(spark, path, payload=False)
     assert heads.where("payload is not null").count() == 0 and heads.count() == len(pages())
     assert {x.payload_length for x in heads.where("record_id = 'urn:page:8'").collect()} == {1500000}
