@@ -10,7 +10,7 @@ from ..operators import overlaps as O
 from ..tables import READ_LEN, layout, overlaps, sql
 from . import register
 from .intervals import depths, merged
-from .overlaps import LEN, OVL, SCORE, full
+from .overlaps import read_len, OVL, SCORE, full
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -47,7 +47,7 @@ p AS (SELECT a_id, i, least(CASE WHEN i < 15 AND i * step < n THEN floor(i * ste
 
 
 def samples(spark, d):
-    return O.score_samples(overlaps(spark, d), G.overlap_score(G.a_aligned(LEN), LEN).cast("bigint"))
+    return O.score_samples(overlaps(spark, d), G.overlap_score(G.a_aligned(read_len()), read_len()).cast("bigint"))
 
 
 @query(_SAMP + " SELECT * FROM sa")
@@ -85,7 +85,7 @@ _CL = _EV + f", eiv AS (SELECT a_id AS key, ahg5 AS lo, {READ_LEN} - ahg3 AS hi
 
 
 def corrected(spark, d):
-    e = evidence(spark, d).select(F.col("a_id").alias("key"), G.a_bgn().alias("lo"), G.a_end(LEN).alias("hi"))
+    e = evidence(spark, d).select(F.col("a_id").alias("key"), G.a_bgn().alias("lo"), G.a_end(read_len()).alias("hi"))
     return C.corrected_length(e, 4).withColumnRenamed("key", "read_id")
 
 

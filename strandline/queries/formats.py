@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..sources import text as X
 from ..tables import READ_LEN, layout, load, overlaps, references, sql
 from . import register
-from .overlaps import LEN, full, lengths
+from .overlaps import read_len, full, lengths
 
 QUERIES: dict = {}
 ORACLE: dict = {}

@@ -10,7 +10,7 @@ from ..operators import overlaps as O
 from ..tables import READ_LEN, layout, overlaps, sql
 from . import register
 from .intervals import merged
-from .overlaps import LEN, TWIN
+from .overlaps import TWIN, read_len
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -28,7 +28,7 @@ be AS (SELECT a_id AS read_id, ah > 0 AS end3p, b_id, (ah > 0) = flipped AS b3p,
 def graph(spark, d):
     o = overlaps(spark, d)
     inner = G.hang_a_contained() & (F.col("a_id") % 7 == 0) & (F.col("b_id") % 7 != 0)
-    return O.symmetrise(o.where(G.reaches_ends() & (G.hang_dovetail() | inner))).drop("created").withColumn("a_len", LEN).withColumn("b_len", LEN)
+    return O.symmetrise(o.where(G.reaches_ends() & (G.hang_dovetail() | inner))).drop("created").withColumn("a_len", read_len()).withColumn("b_len", read_len())
 
 
 def best(spark, d):
@@ -37,7 +37,7 @@ def best(spark, d):
 
 
 def lens(spark, d):
-    return graph(spark, d).select(F.col("a_id").alias("read_id")).distinct().withColumn("len", LEN)
+    return graph(spark, d).select(F.col("a_id").alias("read_id")).distinct().withColumn("len", read_len())
 
 
 @query(GV + " SELECT read_id FROM ct")

@@ -14,17 +14,23 @@ from .kmers import mers
 QUERIES: dict = {}
 ORACLE: dict = {}
 query = register(QUERIES, ORACLE)
-LEN = F.lit(READ_LEN).cast("bigint")
+
+
+def read_len():
+    """Length of every read of the overlap table."""
+    return F.lit(READ_LEN).cast("bigint")
+
+
 OVL = sql("ovl")
 
 
 def lengths(spark, d):
     o = overlaps(spark, d)
-    return o.select(F.col("a_id").alias("read_id")).union(o.select("b_id")).distinct().withColumn("len", LEN)
+    return o.select(F.col("a_id").alias("read_id")).union(o.select("b_id")).distinct().withColumn("len", read_len())
 
 
 def full(spark, d):
-    return overlaps(spark, d).withColumn("a_len", LEN).withColumn("b_len", LEN)
+    return overlaps(spark, d).withColumn("a_len", read_len()).withColumn("b_len", read_len())
 
 
 def turned(spark, d):
@@ -77,7 +83,7 @@ def overlap_containment(spark, d):
 (ahg5 = 0 OR bhg5 = 0) AND (ahg3 = 0 OR bhg3 = 0) AS reaches, ah * bh > 0 AS dovetail, ahg5 = 0 AND ahg3 = 0 AS contained, bhg5 = 0 AND bhg3 = 0 AS container, (ahg5 > 0 AND bhg5 > 0) OR (ahg3 > 0 AND bhg3 > 0) AS partial,
 greatest(CASE WHEN ah < 0 THEN {READ_LEN} + least(bh, 0) ELSE {READ_LEN} - ah + least(bh, 0) END, CASE WHEN ah < 0 THEN CASE WHEN bh < 0 THEN {READ_LEN} + ah ELSE {READ_LEN} + ah - bh END ELSE CASE WHEN bh < 0 THEN {READ_LEN} ELSE {READ_LEN} - bh END END) AS length FROM ovl""")
 def overlap_geometry(spark, d):
-    return overlaps(spark, d).select("a_id", "b_id", "flipped", G.a_hang().alias("a_hang"), G.b_hang().alias("b_hang"), G.b_bgn(LEN).alias("b_bgn"), G.b_end(LEN).alias("b_end"), G.a_aligned(LEN).alias("a_aligned"), G.b_aligned(LEN).alias("b_aligned"), G.reaches_ends().alias("reaches"), G.hang_dovetail().alias("dovetail"), G.a_contained().alias("contained"), G.a_container().alias("container"), G.partial().alias("partial"), G.overlap_length(LEN, LEN).alias("length"))
+    return overlaps(spark, d).select("a_id", "b_id", "flipped", G.a_hang().alias("a_hang"), G.b_hang().alias("b_hang"), G.b_bgn(read_len()).alias("b_bgn"), G.b_end(read_len()).alias("b_end"), G.a_aligned(read_len()).alias("a_aligned"), G.b_aligned(read_len()).alias("b_aligned"), G.reaches_ends().alias("reaches"), G.hang_dovetail().alias("dovetail"), G.a_contained().alias("contained"), G.a_container().alias("container"), G.partial().alias("partial"), G.overlap_length(read_len(), read_len()).alias("length"))
 
 
 TWIN = "SELECT b_id AS a_id, a_id AS b_id, flipped, CASE WHEN flipped THEN bhg3 ELSE bhg5 END AS ahg5, CASE WHEN flipped THEN bhg5 ELSE bhg3 END AS ahg3, CASE WHEN flipped THEN ahg3 ELSE ahg5 END AS bhg5, CASE WHEN flipped THEN ahg5 ELSE ahg3 END AS bhg3, evalue, span FROM ovl"
@@ -96,7 +102,7 @@ def store_filter(spark, d):
 
 @query(OVL + f" SELECT {COLS} FROM ovl WHERE NOT (ah < 0 AND bh < 0) AND NOT (ah >= 0 AND bh <= 0) AND a_id < b_id AND evalue / 100000 BETWEEN 0.001 AND 0.02 AND (al + bl) // 2 BETWEEN 5000 AND 9500 AND a_id BETWEEN 10 AND 400")
 def overlap_dump_filters(spark, d):
-    keep = O.dump_filters(LEN, LEN, no5p=True, no_contained=True, no_redundant=True, erate=(0.001, 0.02), length=(5000, 9500), query=(10, 400))
+    keep = O.dump_filters(read_len(), read_len(), no5p=True, no_contained=True, no_redundant=True, erate=(0.001, 0.02), length=(5000, 9500), query=(10, 400))
     return overlaps(spark, d).where(keep)
 
 
@@ -105,7 +111,7 @@ SCORE = "floor(16384.0 * (1 - evalue / 100000) * al / 10000)::BIGINT"
 
 @query(OVL + f" SELECT a_id, b_id, flipped, {SCORE} AS score FROM ovl")
 def overlap_score(spark, d):
-    return overlaps(spark, d).select("a_id", "b_id", "flipped", G.overlap_score(G.a_aligned(LEN), LEN).cast("bigint").alias("score"))
+    return overlaps(spark, d).select("a_id", "b_id", "flipped", G.overlap_score(G.a_aligned(read_len()), read_len()).cast("bigint").alias("score"))
 
 
 @query(OVL + f" SELECT {COLS} FROM (SELECT *, row_number() OVER (PARTITION BY a_id, b_id ORDER BY evalue, span DESC, flipped, ahg5, ahg3, bhg5, bhg3) AS rn FROM ovl) WHERE rn = 1")
@@ -115,7 +121,7 @@ def dedupe_pairs(spark, d):
 
 @query(OVL + f" SELECT {COLS} FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY al DESC, evalue, b_id, flipped) AS rn FROM ovl) WHERE rn <= 10")
 def topk_overlaps(spark, d):
-    return O.top_per_read(overlaps(spark, d), 10, G.a_aligned(LEN))
+    return O.top_per_read(overlaps(spark, d), 10, G.a_aligned(read_len()))
 
 
 @query(OVL + f""", u AS (SELECT {COLS}, 1 AS made FROM ovl UNION ALL SELECT *, 2 FROM ({TWIN})), r AS (SELECT *, min(evalue) OVER (PARTITION BY a_id, b_id, flipped) AS ev, row_number() OVER (PARTITION BY a_id, b_id, flipped ORDER BY made, ahg5, ahg3, bhg5, bhg3, span) AS rn FROM u)
@@ -133,7 +139,7 @@ def load_erates(spark, d):
 
 @query(OVL + " SELECT evalue // 100 AS erate_bin, (al + bl) // 2 // 500 AS length_bin, count(*) AS n FROM ovl GROUP BY 1, 2")
 def erate_length_histogram(spark, d):
-    return O.erate_length_histogram(overlaps(spark, d), G.aligned(LEN, LEN), 100, 500)
+    return O.erate_length_histogram(overlaps(spark, d), G.aligned(read_len(), read_len()), 100, 500)
 
 
 @query(OVL + " SELECT a_id, count(*) AS n FROM ovl GROUP BY a_id")

@@ -8,7 +8,7 @@ from ..operators import trimming as T
 from ..tables import READ_LEN, overlaps, sql
 from . import register
 from .intervals import merged
-from .overlaps import LEN, full
+from .overlaps import read_len, full
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -30,7 +30,7 @@ def largest_covered(spark, d):
 @query(OVL + f", {_RG} SELECT read_id, bgn, \"end\", CASE WHEN \"end\" - bgn < 8300 THEN 'DEL' WHEN bgn = 0 AND \"end\" = {READ_LEN} THEN 'NOC' ELSE 'MOD' END AS status FROM rg")
 def trim_status(spark, d):
     g = ranges(spark, d)
-    return T.trim_status(g.select("read_id").withColumn("len", LEN), g, 8300)
+    return T.trim_status(g.select("read_id").withColumn("len", read_len()), g, 8300)
 
 
 @query(OVL + f", {_RG}, mx AS (SELECT read_id, 400 AS m0, 9400 - read_id * 31 % 9000 AS m1 FROM rg) SELECT read_id, CASE WHEN greatest(bgn, m0) < least(\"end\", m1) THEN greatest(bgn, m0) ELSE 0 END AS bgn, CASE WHEN greatest(bgn, m0) < least(\"end\", m1) THEN least(\"end\", m1) ELSE 0 END AS \"end\", greatest(bgn, m0) < least(\"end\", m1) AS ok FROM rg JOIN mx USING (read_id)")
