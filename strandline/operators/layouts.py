@@ -141,3 +141,30 @@ def split_blocks(placed: DataFrame, breaks: DataFrame) -> DataFrame:
     inside = (F.col("from").isNull() | (F.col("lo") >= F.col("from"))) & (F.col("to").isNull() | (F.col("hi") <= F.col("to")))
     j = placed.join(blocks, "tig_id").where(inside)
     return placed.join(j.groupBy("tig_id", "read_id").agg(F.max("block").alias("block")), ["tig_id", "read_id"], "left")
+
+
+def assembly_graph(clusters: DataFrame, placed: DataFrame, min_coverage: float = 0.01, max_erate: float = 1.0) -> DataFrame:
+    """(tig_id, target, reads, thickest): placements of a tig's reads in other tigs, as edges with the longest covered part."""
+    home = placed.select("read_id", F.col("tig_id").alias("home"))
+    away = clusters.join(home, "read_id").where((F.col("tig_id") != F.col("home")) & (F.col("f_coverage") >= min_coverage) & (F.col("errors") <= F.col("aligned") * max_erate))
+    return away.groupBy(F.col("home").alias("tig_id"), F.col("tig_id").alias("target")).agg(F.count_distinct("read_id").alias("reads"), F.max(F.col("cend") - F.col("cbgn")).alias("thickest"))
+
+
+def orphan_decisions(clusters: DataFrame, placed: DataFrame, min_coverage: float = 0.99) -> DataFrame:
+    """(tig_id, n_orphan, n_bubble, decision) of tigs by where their reads could lie instead.
+
+    A target at least as long that takes all reads makes an orphan of the tig, one that takes both terminal
+    reads a bubble. One orphan target: merge into it; several: each read goes where its error is least
+    (distribute); none but a bubble target: bubble; else keep.
+    """
+    w = W.partitionBy("tig_id")
+    ends = placed.withColumn("first", F.row_number().over(w.orderBy("lo", "hi", "read_id")) == 1).withColumn("last", F.row_number().over(w.orderBy(F.desc("hi"), F.desc("lo"), F.desc("read_id"))) == 1)
+    home = ends.select("read_id", F.col("tig_id").alias("home"), (F.col("first") | F.col("last")).alias("terminal"))
+    size = placed.groupBy("tig_id").agg(F.count(F.lit(1)).alias("n"), (F.max("hi") - F.min("lo")).alias("len"))
+    own = size.join(home.where("terminal").groupBy(F.col("home").alias("tig_id")).agg(F.count(F.lit(1)).alias("n_terminal")), "tig_id").select(F.col("tig_id").alias("home"), "n", "n_terminal", F.col("len").alias("home_len"))
+    away = clusters.where(F.col("f_coverage") >= min_coverage).select("read_id", "tig_id").distinct().join(home, "read_id").where("tig_id <> home")
+    per = away.groupBy("home", "tig_id").agg(F.count(F.lit(1)).alias("placed"), F.count_if("terminal").alias("placed_terminal")).join(own, "home").join(size.select("tig_id", "len"), "tig_id").where("len >= home_len and n > 1")
+    orphan = F.col("placed") == F.col("n")
+    out = per.groupBy("home").agg(F.count_if(orphan).alias("n_orphan"), F.count_if(~orphan & (F.col("placed_terminal") == F.col("n_terminal"))).alias("n_bubble"))
+    j = size.select("tig_id").join(out, F.col("tig_id") == F.col("home"), "left").select("tig_id", F.coalesce("n_orphan", F.lit(0)).alias("n_orphan"), F.coalesce("n_bubble", F.lit(0)).alias("n_bubble"))
+    return j.withColumn("decision", F.when(F.col("n_orphan") == 1, "merge").when(F.col("n_orphan") > 1, "distribute").when(F.col("n_bubble") > 0, "bubble").otherwise("keep"))

@@ -123,3 +123,25 @@ def mask_consensus(spark, d):
     from ..tables import load
 
     return load(spark, d, "benchmark").where(F.length("text") >= 30).select("item_id", L.mask(F.col("text"), F.lit(10), F.lit(30)).alias("masked"))
+
+
+def clusters(spark, d):
+    return L.cluster(L.project(full(spark, d), placed(spark, d)))
+
+
+@query(_CLU + f" SELECT pl.tig_id, pc.tig_id AS target, count(DISTINCT read_id) AS reads, max(cend - cbgn) AS thickest FROM pc JOIN pl USING (read_id) WHERE pc.tig_id <> pl.tig_id AND (cend - cbgn) / {READ_LEN} >= 0.7 GROUP BY 1, 2")
+def assembly_graph(spark, d):
+    return L.assembly_graph(clusters(spark, d), placed(spark, d), 0.7)
+
+
+_ORPHAN = _CLU + f""", tm AS (SELECT *, row_number() OVER (PARTITION BY tig_id ORDER BY lo, hi, read_id) = 1 OR row_number() OVER (PARTITION BY tig_id ORDER BY hi DESC, lo DESC, read_id DESC) = 1 AS t FROM pl),
+sz AS (SELECT tig_id, count(*) AS n, count(*) FILTER (WHERE t) AS nt, max(hi) - min(lo) AS len FROM tm GROUP BY 1),
+aw AS (SELECT DISTINCT pc.read_id, pc.tig_id, tm.tig_id AS home, t FROM pc JOIN tm USING (read_id) WHERE pc.tig_id <> tm.tig_id AND (cend - cbgn) / {READ_LEN} >= 0.9),
+pr AS (SELECT home, aw.tig_id, count(*) AS p, count(*) FILTER (WHERE t) AS pt FROM aw GROUP BY 1, 2), oc AS (SELECT home, p = h.n AS orphan, p <> h.n AND pt = h.nt AS bubble FROM pr JOIN sz h ON h.tig_id = home JOIN sz g ON g.tig_id = pr.tig_id WHERE g.len >= h.len AND h.n > 1),
+dc AS (SELECT home, count(*) FILTER (WHERE orphan) AS no, count(*) FILTER (WHERE bubble) AS nb FROM oc GROUP BY 1)
+SELECT tig_id, coalesce(no, 0) AS n_orphan, coalesce(nb, 0) AS n_bubble, CASE WHEN no = 1 THEN 'merge' WHEN no > 1 THEN 'distribute' WHEN nb > 0 THEN 'bubble' ELSE 'keep' END AS decision FROM sz LEFT JOIN dc ON home = tig_id"""
+
+
+@query(_ORPHAN)
+def orphan_decisions(spark, d):
+    return L.orphan_decisions(clusters(spark, d), placed(spark, d), 0.9)
