@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -29,7 +31,8 @@ SHINGLE, WORDS, SPAN = 5, 24, 26
 #: Bands and MinHash values of a band: a pair at Jaccard 0.8 meets with probability 0.65 in one paragraph; edits
 #: leave whole paragraphs of a passage equal or overlap them differently, so a passage has several chances.
 BANDS, VALUES, SIMILAR = 2, 4, 0.8
-BUCKET_ROWS, CACHE = 1024, 1 << 19
+BUCKET_ROWS, BLOCK = 1024, 1 << 18
+SET = WORDS - SHINGLE + 1
 U = np.uint64
 _POWERS = np.array([xxhash.xxh64_intdigest(b"power", k) | 1 for k in range(WORDS)], U)
 _SEEDS = np.array([xxhash.xxh64_intdigest(b"seed", k) for k in range(BANDS * VALUES)], U)
@@ -42,45 +45,89 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-class _Hashes(dict):
-    """Hashes of words, remembered up to CACHE words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 @functools.cache
-def _words() -> _Hashes:
-    return _Hashes()
-
-
-def shingles(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes and shingle hashes of a text's normalised words."""
-    words = text.translate(TABLE).split() if text else []
-    if len(words) < WORDS:
-        return np.empty(0, U), np.empty(0, U)
-    h = _words()
-    w = np.array([h[x] for x in words], U)
-    n = len(w) - SHINGLE + 1
-    s = w[:n] * _POWERS[0]
-    for k in range(1, SHINGLE):
-        s = s + w[k : k + n] * _POWERS[k]
-    return w, mix(s)
-
-
-def starts(s: np.ndarray, n_words: int) -> np.ndarray:
-    """First words of a text's paragraphs."""
-    s = s[: n_words - WORDS + 1]
-    if len(s) <= SPAN:
-        return np.array([int(s.argmin())])
-    view, found = np.lib.stride_tricks.sliding_window_view(s, SPAN), []
-    for k in range(0, len(view), 1 << 15):
-        part = view[k : k + (1 << 15)]
-        found.append(np.unique(part.argmin(1) + np.arange(k, k + len(part))))
-    return np.unique(np.concatenate(found))
+def _bases(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2 ** 64."""
+    odd = xxhash.xxh64_intdigest(b"base") | 1
+    up, down = np.full(n, odd, U), np.full(n, pow(odd, -1, 1 << 64), U)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def word_hashes(line: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes of a normalised line's words: mixed polynomials of their bytes, from prefix sums over BLOCK bytes at a time."""
+    out, first, lo = [np.empty(0, U)], [np.empty(0, np.int64)], 0
+    while lo < len(line):
+        hi = lo + BLOCK
+        if hi < len(line):  # between words
+            cut = line.rfind(b" ", lo, hi)
+            cut = cut if cut > lo else line.find(b" ", hi)
+            hi = cut if cut > 0 else len(line)
+        b = np.frombuffer(line[lo:hi], np.uint8)
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], b != 32, [False]]).view(np.int8)))
+        bgn, end = edge[::2], edge[1::2]
+        up, down = _bases(BLOCK if len(b) <= BLOCK else 1 << len(b).bit_length())
+        sums = np.zeros(len(b) + 1, U)
+        np.cumsum(b * up[: len(b)], out=sums[1:])
+        out.append(mix((sums[end] - sums[bgn]) * down[bgn] + (end - bgn).astype(U)))
+        first.append(bgn + lo)
+        lo += len(b)
+    return np.concatenate(out), np.concatenate(first)
+
+
+def _sliding(x: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
+    """``best`` over every ``n`` consecutive values, by doubling."""
+    k = 1
+    while 2 * k <= n:
+        x = best(x[:-k], x[k:])
+        k *= 2
+    return best(x[: len(x) - (n - k)], x[n - k :]) if n > k else x
+
+
+@dataclass
+class Cut:
+    """Paragraphs of some texts: which text, first word in it, and first word among all words of the batch."""
+
+    text: np.ndarray
+    pos: np.ndarray
+    at: np.ndarray
+    words: np.ndarray
+    shingles: np.ndarray
+
+
+def cut(texts: list[bytes | None]) -> Iterator[Cut]:
+    """Paragraphs of texts, BLOCK bytes or a longer text at a time; a start is the least shingle (all of equal ones) of some SPAN in a row."""
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi] or b"") <= BLOCK):
+            size += len(texts[hi] or b"")
+            hi += 1
+        part = [t or b"" for t in texts[lo:hi]]
+        w, byte = word_hashes(b" ".join(part).translate(TABLE))
+        if len(w) >= WORDS:
+            of = np.searchsorted(np.cumsum([0] + [len(t) + 1 for t in part[:-1]]), byte, "right") - 1
+            count = np.bincount(of, minlength=len(part))
+            first = np.cumsum(count) - count
+            pos = np.arange(len(w)) - first[of]
+            fits = pos <= count[of] - WORDS
+            s = np.zeros(len(w), U)
+            for k in range(SHINGLE):
+                s[: len(w) - SHINGLE + 1] += w[k : len(w) - SHINGLE + 1 + k] * _POWERS[k]
+            s = mix(s)
+            start = np.zeros(len(w), bool)
+            if len(w) >= SPAN:
+                least = _sliding(np.where(fits, s, U(2**64 - 1)), SPAN, np.minimum)
+                least[~(fits[SPAN - 1 :] & (of[SPAN - 1 :] == of[: len(least)]))] = 0
+                edge = np.zeros(SPAN - 1, U)
+                start = fits & (_sliding(np.concatenate([edge, least, edge]), SPAN, np.maximum) == s)
+            room = count - WORDS + 1
+            for d in np.flatnonzero((room > 0) & (room < SPAN)):  # texts too short for a whole span
+                start[first[d] + s[first[d] : first[d] + room[d]].argmin()] = True
+            at = np.flatnonzero(start)
+            if len(at):
+                yield Cut(of[at] + lo, pos[at], at, w, s)
+        lo = hi
 
 
 def paragraph_hashes(w: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -92,14 +139,14 @@ def paragraph_hashes(w: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def band_keys(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A key for each paragraph (row) and band, of the least hashes under VALUES seeds."""
-    own = s[at[:, None] + np.arange(WORDS - SHINGLE + 1)]
     keys = np.empty((len(at), BANDS), U)
     for b in range(BANDS):
         key = np.full(len(at), b, U)
         for seed in _SEEDS[b * VALUES : (b + 1) * VALUES]:
             # the hashes are mixed already: a multiplication by an odd seed ranks them anew
-            x = own * (seed | U(1))
-            key = mix(key + (x ^ (x >> U(31))).min(1))
+            x = s * (seed | U(1))
+            x ^= x >> U(31)
+            key = mix(key + _sliding(x, SET, np.minimum)[at])
         keys[:, b] = key
     return keys
 
@@ -111,27 +158,16 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _paragraphs(keys: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, where, h, k, texts = [], [], [], [], []
-            for i, t in enumerate(as_bytes(b.column(1))):
-                w, s = shingles(t)
-                if not len(w):
-                    continue
-                at = starts(s, len(w))
-                ids.append(np.full(len(at), i))
-                h.append(paragraph_hashes(w, at))
+            texts = as_bytes(b.column(1))
+            for c in cut(texts):
+                doc, h = b.column(0).take(pa.array(c.text)), _signed(paragraph_hashes(c.words, c.at))
                 if keys:
-                    k.append(band_keys(s, at))
+                    k = band_keys(c.shingles, c.at)
+                    yield pa.RecordBatch.from_arrays([doc, h, *[_signed(np.ascontiguousarray(k[:, j])) for j in range(BANDS)]], names=["doc_id", "h", *[f"k{j}" for j in range(BANDS)]])
                 else:
-                    where.append(at)
-                    texts.append(np.full(len(at), xxhash.xxh64_intdigest(t, 42), U))  # as Spark's xxhash64
-            if not ids:
-                continue
-            doc = b.column(0).take(pa.array(np.concatenate(ids)))
-            if keys:
-                k = np.concatenate(k)
-                yield pa.RecordBatch.from_arrays([doc, _signed(np.concatenate(h)), *[_signed(np.ascontiguousarray(k[:, j])) for j in range(BANDS)]], names=["doc_id", "h", *[f"k{j}" for j in range(BANDS)]])
-            else:
-                yield pa.RecordBatch.from_arrays([doc, _signed(np.concatenate(texts)), pa.array(np.concatenate(where).astype(np.int32)), _signed(np.concatenate(h))], names=["doc_id", "text_key", "pos", "h"])
+                    some, back = np.unique(c.text, return_inverse=True)
+                    key = np.array([xxhash.xxh64_intdigest(texts[i], 42) for i in some], U)[back]  # as Spark's xxhash64
+                    yield pa.RecordBatch.from_arrays([doc, _signed(key), pa.array(c.pos.astype(np.int32)), h], names=["doc_id", "text_key", "pos", "h"])
 
     return run
 
@@ -146,21 +182,22 @@ def paragraph_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs, ms, sets = [], [], []
-            for t, want in zip(as_bytes(b.column(0)), b.column(1).to_pylist(), strict=True):
-                w, s = shingles(t)
-                if not len(w):
-                    continue
-                at = starts(s, len(w))
-                h = paragraph_hashes(w, at).view(np.int64)
-                _, first = np.unique(h, return_index=True)
-                for j in first[np.isin(h[first], np.array(want, np.int64))]:
-                    u = np.unique(s[at[j] : at[j] + WORDS - SHINGLE + 1])
-                    pad = mix(u[:1] + np.arange(1, WORDS - SHINGLE + 2 - len(u), dtype=U) + U(int(h[j]) & (1 << 63) - 1))
-                    hs.append(int(h[j]))
-                    ms.append(len(u))
-                    sets.append(np.concatenate([u, pad]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ms, pa.int32()), pa.array(sets, pa.binary())], names=["h", "m", "shingles"])
+            lists = b.column(1)
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            want = np.stack([np.repeat(np.arange(len(size)), size), lists.flatten().to_numpy()], 1)
+            wanted = mix(want[:, 0].astype(U)) ^ want[:, 1].view(U)  # text and hash in one
+            for c in cut(as_bytes(b.column(0))):
+                h = paragraph_hashes(c.words, c.at)
+                both, first = np.unique(mix(c.text.astype(U)) ^ h, return_index=True)
+                first = first[np.isin(both, wanted)]
+                h, at = h[first], c.at[first]
+                own = np.sort(c.shingles[at[:, None] + np.arange(SET)], axis=1)
+                again = np.zeros(own.shape, bool)
+                again[:, 1:] = own[:, 1:] == own[:, :-1]
+                # what repeats within a paragraph gives way to values that no other paragraph has
+                sets = np.where(again, mix(h[:, None] + np.arange(1, SET + 1, dtype=U)), own)
+                data = pa.Array.from_buffers(pa.binary(8 * SET), len(h), [None, pa.py_buffer(np.ascontiguousarray(sets))])
+                yield pa.RecordBatch.from_arrays([_signed(h), pa.array((SET - again.sum(1)).astype(np.int32)), data.cast(pa.binary())], names=["h", "m", "shingles"])
 
     found = map_arrow(rows, run, "h bigint, m int, shingles binary")
     return found.groupBy("h").agg(F.first("m").alias("m"), F.first("shingles").alias("shingles"))  # an id that repeats yields a paragraph twice
@@ -181,8 +218,8 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = np.isin(s[left], s[i]).sum(1)
             near = both >= SIMILAR * (m[left] + m[i] - both)
             new = left[near]
-            a += [int(h[i])] * len(new)
-            b += h[new].tolist()
+            a.append(np.full(len(new), h[i]))
+            b.append(h[new])
             left = left[~near]
             todo += new.tolist()
 
@@ -191,12 +228,22 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, h, m = t["key"].to_numpy(), t["h"].to_numpy(), t["m"].to_numpy()
         s = np.frombuffer(b"".join(t["shingles"].to_pylist()), U).reshape(len(t), -1)
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        a: list[int] = []
-        b: list[int] = []
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            if hi - lo > 1:
-                bucket(h[lo:hi], m[lo:hi], s[lo:hi], a, b)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+        size = np.diff(cut)
+        of = np.repeat(size, size)
+        a: list[np.ndarray] = [np.empty(0, np.int64)]
+        b: list[np.ndarray] = [np.empty(0, np.int64)]
+        for d in range(1, 8):  # buckets of up to eight paragraphs at once, by lag
+            at = np.flatnonzero((of[:-d] <= 8) & (key[:-d] == key[d:])) if len(key) > d else np.empty(0, np.int64)
+            for k in range(0, len(at), 4096):
+                i = at[k : k + 4096]
+                j = i + d
+                both = (s[i][:, :, None] == s[j][:, None, :]).sum((1, 2))
+                near = both >= SIMILAR * (m[i] + m[j] - both)
+                a.append(h[i[near]])
+                b.append(h[j[near]])
+        for k in np.flatnonzero(size > 8):
+            bucket(h[cut[k] : cut[k + 1]], m[cut[k] : cut[k + 1]], s[cut[k] : cut[k + 1]], a, b)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
 
     held: list[pa.RecordBatch] = []
     for x in batches:

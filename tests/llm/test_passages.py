@@ -1,8 +1,6 @@
 import random
 from collections import defaultdict
 
-import numpy as np
-
 from strandline.llm import passages as p
 
 SCHEMA = "doc_id long, text string, kept string, h int"
@@ -49,10 +47,9 @@ def test_exact_classes(spark):
     rows, *_ = corpus()
     seen = defaultdict(set)
     for i, t, *_ in rows:
-        w, s = p.shingles((t or "").encode())
-        if i is not None and len(w):
-            words = (t or "").encode().translate(p.TABLE).split()
-            for a in p.starts(s, len(w)):
+        words = (t or "").encode().translate(p.TABLE).split()
+        for c in p.cut([(t or "").encode()] if i is not None else []):
+            for a in c.pos:
                 seen[tuple(words[a : a + p.WORDS])].add((i, int(a)))
     want = {(i, a) for v in seen.values() if len({i for i, _ in v}) > 1 for i, a in v}
     runs = p.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
@@ -70,7 +67,7 @@ def test_near_paragraphs_and_blocks(spark, monkeypatch):
     base = [word(r) for _ in range(p.WORDS)]
     near = base[:-1] + ["zz"]
     far = base[: p.WORDS // 2] + [word(r) for _ in range(p.WORDS // 2)]
-    sets = {k: set(p.shingles(" ".join(w).encode())[1].tolist()) for k, w in (("b", base), ("n", near), ("f", far))}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in (("b", base), ("n", near), ("f", far))}
     j = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y])
     assert j("b", "n") >= 0.8 > j("b", "f")
     rows = [(i, " ".join(base[:-1] + [f"v{i}"]), None, 0) for i in range(40)] + [(100, " ".join(far), None, 0)]
@@ -93,7 +90,18 @@ def test_cut_and_empty(spark):
     assert p.repeated_passages(df.limit(0)).collect() == []
 
 
-def test_starts_cover():
-    s = np.random.default_rng(0).integers(0, 1 << 62, 5000, dtype=np.uint64)
-    at = p.starts(s, 5004)
-    assert np.diff(at).max() <= p.SPAN and at[-1] <= 5004 - p.WORDS
+def test_starts():
+    """Cut alone or among others, a text has the same paragraphs, and no SPAN of starts is without one."""
+    r = random.Random(1)
+    texts = [" ".join(word(r) for _ in range(n)).encode() for n in (5000, 0, 24, 30, 49, 50, 23, 400)] + [None]
+    together = {(int(t), int(a)) for c in p.cut(texts) for t, a in zip(c.text, c.pos, strict=True)}
+    alone = {(i, int(a)) for i, t in enumerate(texts) for c in p.cut([t]) for a in c.pos}
+    assert together == alone
+    for i, t in enumerate(texts):
+        n = len((t or b"").split())
+        at = sorted(a for d, a in alone if d == i)
+        assert (len(at) > 0) == (n >= p.WORDS)
+        if at:
+            assert at[0] < p.SPAN and at[-1] <= n - p.WORDS < at[-1] + p.SPAN and all(b - a <= p.SPAN for a, b in zip(at, at[1:]))
+    long = [b"x" * (p.BLOCK + 5) + b" y" * 40]
+    assert sum(len(c.at) for c in p.cut(long)) > 0
