@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import map_arrow, staged
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -37,3 +41,57 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         mark = now
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+#: Edges (of 16 bytes) up to which one task finishes what is left after partitions have been contracted.
+SMALL_EDGES = 1 << 20
+
+
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of an edge list and the least node that each reaches: labels fall to the lesser end's, then jump."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[i], label[j]
+        low = np.minimum(x, y)
+        if (x == y).all():
+            return nodes, nodes[label]
+        for k in (x, y):
+            np.minimum.at(label, k, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _contract(rows: int, *names: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node, least node) of each ``rows`` edges of a partition: as many edges as nodes at most."""
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1))
+            nodes, root = _roots(a, b)
+            return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root)], names=list(names))
+
+        for x in batches:
+            held.append(x)
+            size += len(x)
+            if size >= rows:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    return run
+
+
+def bounded_components(edges: DataFrame) -> DataFrame:
+    """As ``connected_components``, in two steps where few edges are left.
+
+    Partitions are contracted to spanning stars first. If no more than SMALL_EDGES edges are left, which is
+    counted, one task has room for all and finishes; otherwise rounds over the cluster do.
+    """
+    stars = staged(map_arrow(edges.select("a", "b"), _contract(SMALL_EDGES, "a", "b"), "a bigint, b bigint").where("a <> b").distinct(), "stars")
+    if stars.count() > SMALL_EDGES:
+        return connected_components(stars)
+    return staged(map_arrow(stars.coalesce(1), _contract(2 * SMALL_EDGES, "node", "component"), "node bigint, component bigint"), "components")

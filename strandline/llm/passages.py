@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import as_bytes, lookup, map_arrow, spread, spread_by, staged
-from .components import connected_components
+from .components import bounded_components
 from .decontaminate import TABLE, WORD
 
 #: Words of a shingle, of a paragraph, and shingles of which one starts a paragraph (49 words in a row are found for sure).
@@ -292,7 +292,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     cut = map_arrow(rows, _paragraphs(True), "doc_id bigint, h bigint, " + ", ".join(f"{k} bigint" for k in names))
     classes = cut.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).cast("int").alias("n"), *[F.min(k).alias(k) for k in names])
     classes = staged(classes, "classes")
-    labels = connected_components(staged(near_edges(rows, classes), "edges"))
+    labels = bounded_components(near_edges(rows, classes))
     linked = classes.join(labels, classes["h"] == labels["node"]).select("h", "first", "last", "n", "component")
     joint = linked.groupBy("component").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     near = linked.select("h", "n", "component").join(joint, "component").select("h", "n", "first", "last")
