@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -14,7 +15,7 @@ SCHEMA = "doc_id long, text string, fp string, n int"
 
 def plain(text):
     """The fingerprint, bit by bit."""
-    w = [x for x in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").split(" ") if x]
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     sh = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
