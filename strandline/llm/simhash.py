@@ -154,14 +154,24 @@ def _edges(distance: int):
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long; null text has no words."""
+    """(doc_id, text_key, fp) with the fingerprint as a signed long; null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, words) for t in as_bytes(b.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t, words) for t in as_bytes(b.column(2))], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    return map_arrow(spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))), run, "doc_id bigint, fp bigint")
+    return map_arrow(_keyed(docs, id_col, text_col), run, "doc_id bigint, text_key bigint, fp bigint")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, text): rows are told apart by their id and a hash of their text."""
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text")))
+
+
+def _first():
+    """The row that a group keeps: the smallest id (null ids last), then the smallest hash of the text."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
 
 
 def fingerprint_edges(fps: DataFrame, n: int, distance: int = 4) -> DataFrame:
@@ -185,6 +195,16 @@ def fingerprint_edges(fps: DataFrame, n: int, distance: int = 4) -> DataFrame:
     return map_arrow(ready, _edges(distance), "a bigint, b bigint")
 
 
+def _fingerprint_groups(docs: DataFrame, distance: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, fp) of every row, and (fp, first, n, label) of every fingerprint; a label is a component."""
+    fp = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    reps = staged(fp.groupBy("fp").agg(_first(), F.count(F.lit(1)).alias("n")), "reps")
+    edges = staged(fingerprint_edges(reps.select("fp"), reps.count(), distance), "edges")
+    labels = connected_components(edges)
+    joined = reps.join(labels, reps["fp"] == labels["node"], "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("label"))
+    return fp, staged(joined, "labels")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id, kept) for every row of ``docs``.
 
@@ -194,33 +214,35 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, id_col:
     component; a null id cannot be the smallest of a component, and a component of null ids has a null
     id. ``kept`` marks the row with doc_id = component_id (repeated rows of that id are all marked).
     """
-    fp = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    reps = staged(fp.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "reps")
-    edges = staged(fingerprint_edges(reps.select("fp"), reps.count(), distance), "edges")
-    labels = connected_components(edges)
-    joined = reps.join(labels, reps["fp"] == labels["node"], "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("label"))
-    joined = staged(joined, "labels")
-    least = joined.groupBy("label").agg(F.min("first").alias("component_id"))
+    fp, joined = _fingerprint_groups(docs, distance, words, id_col, text_col)
+    least = joined.groupBy("label").agg(F.min("first.doc_id").alias("component_id"))
     table = staged(joined.join(least, "label").select("fp", "n", "component_id"), "components")
-    out = lookup(fp, table, "fp", "n")
+    out = lookup(fp.select("doc_id", "fp"), table, "fp", "n")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", similarity: float | None = None, **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", similarity: float | None = None, text_col: str = "text", **options) -> DataFrame:
     """One row of each group stays, the one with the smallest id; all columns as they were.
 
-    Groups are those of ``near_duplicates``, or of ``similar_documents`` if a ``similarity`` is given. Rows that share that id are reduced to one by their content, null ids to one row per group.
+    Groups are those of ``near_duplicates``, or of ``similar_documents`` if a ``similarity`` is given. Null ids come
+    last. Rows are told apart by id and text, so rows that share an id (or have none) but belong to different
+    groups all stay; only rows that repeat with the same id and text are reduced to one.
     """
-    groups = near_duplicates(docs, id_col=id_col, **options) if similarity is None else similar_documents(docs, similarity, id_col=id_col, **options)
-    keep = groups.where("kept").select(F.col("doc_id").alias("_d")).distinct()
-    found = docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["_d"]), "left_semi")
-    # only repeated ids need a second look
-    many = staged(docs.groupBy(F.col(id_col).alias("_d")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_d"), "repeated")
+    if similarity is None:
+        rows, joined = _fingerprint_groups(docs, id_col=id_col, text_col=text_col, **options)
+    else:
+        rows, joined = _similar_groups(docs, similarity, id_col=id_col, text_col=text_col, **options)
+    keep = joined.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_d"), F.col("first.text_key").alias("_k"))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_k"))
+    found = docs.join(keep, same, "left_semi")
+    # only repeated rows need a second look
+    many = staged(rows.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_d", "_k"), "repeated")
     if many.isEmpty():
         return found
-    twice = found.join(many, found[id_col].eqNullSafe(many["_d"]), "left_semi")
-    once = found.join(many, found[id_col].eqNullSafe(many["_d"]), "left_anti")
-    return once.unionByName(twice.groupBy(id_col).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_r")).select("_r.*"))
+    twice = found.join(many, same, "left_semi")
+    once = found.join(many, same, "left_anti")
+    by = [F.col(f"`{id_col}`").cast("long").alias("_d"), F.xxhash64(F.col(f"`{text_col}`")).alias("_k")]
+    return once.unionByName(twice.groupBy(*by).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_r")).select("_r.*"))
 
 
 # Similarity mode: wide fingerprints, whose distance tells the similarity, and sampled grids.
@@ -318,25 +340,18 @@ def _wide_edges(limit: int):
     return run
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id, kept) of every row: links at a shingle similarity of ``similarity`` or more, as wide fingerprints tell it.
-
-    At such a threshold fingerprints of 64 bits differ in ten bits and more, so they have PARTS * 64 bits
-    here, and grids are sampled: a pair at the threshold shares a cell with probability RECALL, closer ones
-    more surely. The number of grids grows as about the third root of the number of documents. Nulls, empty
-    texts, repeated rows and empty tables are treated as in ``near_duplicates``.
-    """
+def _similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, node) of every row, and (node, first, n, label) of every node; a label is a component."""
     names = [f"f{k}" for k in range(PARTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([wide_fingerprint(t, words) for t in as_bytes(b.column(1))], np.uint64).reshape(-1, PARTS)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(PARTS)]], names=["doc_id", *names])
+            fp = np.array([wide_fingerprint(t, words) for t in as_bytes(b.column(2))], np.uint64).reshape(-1, PARTS)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(PARTS)]], names=["doc_id", "text_key", *names])
 
-    rows = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)))
-    fp = map_arrow(rows, run, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in names))
+    fp = map_arrow(_keyed(docs, id_col, text_col), run, "doc_id bigint, text_key bigint, " + ", ".join(f"{c} bigint" for c in names))
     fp = staged(fp.withColumn("node", F.xxhash64(*names)), "fingerprints")
-    reps = staged(fp.groupBy("node", *names).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "reps")
+    reps = staged(fp.groupBy("node", *names).agg(_first(), F.count(F.lit(1)).alias("n")), "reps")
     grids_ = F.array(*[F.array(*[F.lit(_signed(m)) for m in g]) for g in sampled_grids(reps.count(), similarity)])
     even = F.lit(_signed(int(EVEN)))
 
@@ -350,8 +365,19 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     edges = staged(map_arrow(ready, _wide_edges(distance_limit(similarity)), "a bigint, b bigint").distinct(), "edges")
     labels = connected_components(edges)
     joined = reps.select("node", "first", "n").join(labels, "node", "left").select("node", "first", "n", F.coalesce("component", "node").alias("label"))
-    joined = staged(joined, "labels")
-    least = joined.groupBy("label").agg(F.min("first").alias("component_id"))
+    return fp.select("doc_id", "text_key", "node"), staged(joined, "labels")
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id, kept) of every row: links at a shingle similarity of ``similarity`` or more, as wide fingerprints tell it.
+
+    At such a threshold fingerprints of 64 bits differ in ten bits and more, so they have PARTS * 64 bits
+    here, and grids are sampled: a pair at the threshold shares a cell with probability RECALL, closer ones
+    more surely. The number of grids grows as about the third root of the number of documents. Nulls, empty
+    texts, repeated rows and empty tables are treated as in ``near_duplicates``.
+    """
+    rows, joined = _similar_groups(docs, similarity, words, id_col, text_col)
+    least = joined.groupBy("label").agg(F.min("first.doc_id").alias("component_id"))
     table = staged(joined.join(least, "label").select("node", "n", "component_id"), "components")
-    out = lookup(fp.select("doc_id", "node"), table, "node", "n")
+    out = lookup(rows.select("doc_id", "node"), table, "node", "n")
     return out.select("doc_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -132,3 +132,14 @@ def test_similarity_mode(spark):
     assert high > 50 and low == 0
     assert got[500] == got[501] == 500 and got[None] == 0
     assert simhash.similar_documents(spark.createDataFrame(rows, SCHEMA).limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("options", [{}, {"similarity": 0.8, "words": 5}])
+def test_null_and_repeated_ids(spark, options):
+    """Rows that share an id, or have none, stay if their texts differ; one row of each group of texts stays."""
+    r = random.Random(9)
+    say = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    a, b, c, d, e, f = (say() for _ in range(6))
+    rows = [(None, a, "k", 1), (None, b, "k", 1), (None, b, "k", 1), (5, c, "k", 1), (5, d, "k", 1), (5, d, "k", 2), (5, e, "k", 1), (2, e, "k", 1), (None, f, "k", 1), (9, f, "k", 1)]
+    got = drop_near_duplicates(spark.createDataFrame(rows, SCHEMA), **options).collect()
+    assert sorted((x.doc_id or 0, x.text) for x in got) == sorted([(0, a), (0, b), (5, c), (5, d), (2, e), (9, f)])
