@@ -245,16 +245,23 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", similarity: fl
     return once.unionByName(twice.groupBy(*by).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_r")).select("_r.*"))
 
 
-# Similarity mode: wide fingerprints, whose distance tells the similarity, and sampled grids.
+# Similarity mode: wide fingerprints and sampled grids propose, exact similarities of shingle sets decide.
 
-#: Words of a wide fingerprint, wished recall at the threshold, chance points of a cell, largest cell compared by lag.
-PARTS, RECALL, CELL_POINTS, LAGS = 4, 0.95, 12, 40
+#: Words of a wide fingerprint, recall of the grids and standard deviations of the bit limit at the threshold (0.997
+#: of such pairs, so that 0.99 and more are verified), chance points of a cell, largest cell compared by lag.
+PARTS, RECALL, SIGMAS, CELL_POINTS, LAGS = 4, 0.994, 2.75, 60, 256
+#: Shingle sets of one group that a task compares; larger groups are dealt out as pairs of blocks.
+GROUP_ROWS = 1024
 _PART_SEEDS = [xxhash.xxh64_intdigest(b"part", k) | 1 for k in range(PARTS)]
 
 
-def wide_fingerprint(text: bytes | None, words: int = 5) -> list[int]:
-    """PARTS words of 64 bits: the majority of as many independent remixes of each shingle's hash."""
-    h = np.array(shingle_hashes(text, words), np.uint64)
+def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:
+    """The distinct shingle hashes, in order."""
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
+def wide_fingerprint(h: np.ndarray) -> list[int]:
+    """PARTS words of 64 bits: the majority of as many independent remixes of each hash of a shingle set."""
     out = []
     for seed in _PART_SEEDS:
         x = h * np.uint64(seed)
@@ -270,20 +277,25 @@ def flip_rate(similarity: float) -> float:
 
 
 def distance_limit(similarity: float) -> int:
-    """Differing bits up to which documents link: the expectation at the threshold plus 1.25 standard deviations (nine of ten such pairs)."""
+    """Differing bits up to which the sets of two documents are compared: the expectation at the threshold plus SIGMAS standard deviations."""
     p, n = flip_rate(similarity), 64 * PARTS
-    return round(n * p + 1.25 * math.sqrt(n * p * (1 - p)))
+    return round(n * p + SIGMAS * math.sqrt(n * p * (1 - p)))
 
 
 def sampled_grids(n: int, similarity: float, seed: int = 5) -> list[list[int]]:
     """Masks of the segments that each grid's cells agree in: enough segments for CELL_POINTS chance points in a cell,
-    and enough grids for RECALL at the threshold."""
-    p = flip_rate(similarity)
+    and enough grids for RECALL at the threshold, over the binomial distribution of the segments that agree."""
+    p, n_seg = flip_rate(similarity), 32 * PARTS
     same = (1 - p) ** 2 + p * p / 2
     k = max(4, min(32 * PARTS, round(math.log(max(n, 2) / CELL_POINTS) / math.log(8 / 3))))
+    odds = [math.comb(n_seg, a) * same**a * (1 - same) ** (n_seg - a) for a in range(n_seg + 1)]
+    meet = [math.comb(a, k) / math.comb(n_seg, k) for a in range(n_seg + 1)]
+    count = 1
+    while sum(o * (1 - m) ** count for o, m in zip(odds, meet, strict=True)) > 1 - RECALL:
+        count += max(1, count // 50)
     r = np.random.default_rng([seed, k])
     out = []
-    for _ in range(math.ceil(math.log(1 - RECALL) / math.log(1 - same**k))):
+    for _ in range(count):
         some = r.choice(32 * PARTS, k, replace=False)
         out.append([sum(3 << (2 * int(s % 32)) for s in some if s // 32 == w) for w in range(PARTS)])
     return out
@@ -340,17 +352,99 @@ def _wide_edges(limit: int):
     return run
 
 
+def _verified(similarity: float, limit: int):
+    def flush(t: pa.Table) -> pa.RecordBatch:
+        """Spanning edges of each key's sets that have the similarity; bit distance and sizes rule out most others."""
+        key, node = t["key"].to_numpy(), t["node"].to_numpy()
+        fp = np.stack([t[f"f{k}"].to_numpy().view(np.uint64) for k in range(PARTS)], 1)
+        sets = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
+        m = np.array([len(x) for x in sets], np.int64)
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        for lo, hi in zip(cut, cut[1:]):
+            left, todo = np.arange(lo + 1, hi), [int(lo)]
+            while len(left):
+                if not todo:
+                    todo, left = [int(left[0])], left[1:]
+                    continue
+                i = todo.pop()
+                maybe = (_far(fp[left], fp[i]) <= limit) & (np.minimum(m[left], m[i]) >= similarity * np.maximum(m[left], m[i])) & (m[left] > 0)
+                both = np.zeros(len(left), np.int64)
+                at = np.flatnonzero(maybe)
+                for k in range(0, len(at), 64):
+                    part = left[at[k : k + 64]]
+                    same = np.isin(np.concatenate([sets[x] for x in part]), sets[i])
+                    both[at[k : k + 64]] = np.add.reduceat(same, np.cumsum(m[part]) - m[part], dtype=np.int64)
+                near = maybe & (both >= similarity * (m[left] + m[i] - both))
+                a.append(np.full(int(near.sum()), node[i]))
+                b.append(node[left[near]])
+                todo += left[near].tolist()
+                left = left[~near]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key; the last key of a batch waits for the next."""
+        held: list[pa.RecordBatch] = []
+        for x in batches:
+            if not len(x):
+                continue
+            held.append(x)
+            if held[0].column(0)[0] == x.column(0)[len(x) - 1]:
+                continue
+            t = pa.Table.from_batches(held)
+            end = int(np.searchsorted(t["key"].to_numpy(), x.column(0)[len(x) - 1].as_py()))
+            yield flush(t.slice(0, end))
+            held = t.slice(end).combine_chunks().to_batches()
+        if held:
+            yield flush(pa.Table.from_batches(held))
+
+    return run
+
+
+def _verified_edges(docs: DataFrame, groups: DataFrame, similarity: float, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): nodes of a loose group (``key``) with the similarity; they span the components of all such pairs within the bit limit.
+
+    Each node's set is made from one text that has it, and is moved once, or once a block in groups too large for a task.
+    """
+    names = [f"f{k}" for k in range(PARTS)]
+    size = groups.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > GROUP_ROWS)
+    size = staged(size.select(F.col("key").alias("_large"), F.ceil(F.col("size") / (GROUP_ROWS // 2)).alias("blocks")), "large_groups")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_d"), F.xxhash64(F.col(f"`{text_col}`")).alias("_k"), F.col(f"`{text_col}`").alias("text"))
+    found = rows.join(groups, F.col("_d").eqNullSafe(F.col("first.doc_id")) & (F.col("_k") == F.col("first.text_key"))).select("key", "node", *names, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, words).tobytes() for t in as_bytes(b.column(2 + PARTS))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: 2 + PARTS], pa.array(sets, pa.binary())], names=["key", "node", *names, "shingles"])
+
+    sets = map_arrow(found, run, "key bigint, node bigint, " + ", ".join(f"{c} bigint" for c in names) + ", shingles binary")
+    if not size.isEmpty():
+        sets = sets.join(F.broadcast(size), F.col("key") == F.col("_large"), "left")
+        own = F.coalesce(F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")), F.lit(0))
+        sets = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("blocks") - 1, F.lit(0)))))
+        pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+        sets = sets.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(pair).alias("key"), "node", *names, "shingles")
+    ready = spread_by(sets, "key").sortWithinPartitions("key")
+    return map_arrow(ready, _verified(similarity, limit=distance_limit(similarity)), "a bigint, b bigint")
+
+
 def _similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_key, node) of every row, and (node, first, n, label) of every node; a label is a component."""
+    """(doc_id, text_key, node) of every row, and (node, first, n, label) of every node; a label is a component.
+
+    A node is a shingle set. Fingerprints within the bit limit in any grid's cell join nodes to loose groups, and
+    within those the sets are compared exactly.
+    """
     names = [f"f{k}" for k in range(PARTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([wide_fingerprint(t, words) for t in as_bytes(b.column(2))], np.uint64).reshape(-1, PARTS)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(PARTS)]], names=["doc_id", "text_key", *names])
+            sets = [shingle_set(t, words) for t in as_bytes(b.column(2))]
+            node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64)
+            fp = np.array([wide_fingerprint(h) for h in sets], np.uint64).reshape(-1, PARTS)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node.view(np.int64)), *[pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(PARTS)]], names=["doc_id", "text_key", "node", *names])
 
-    fp = map_arrow(_keyed(docs, id_col, text_col), run, "doc_id bigint, text_key bigint, " + ", ".join(f"{c} bigint" for c in names))
-    fp = staged(fp.withColumn("node", F.xxhash64(*names)), "fingerprints")
+    fp = map_arrow(_keyed(docs, id_col, text_col), run, "doc_id bigint, text_key bigint, node bigint, " + ", ".join(f"{c} bigint" for c in names))
+    fp = staged(fp, "fingerprints")
     reps = staged(fp.groupBy("node", *names).agg(_first(), F.count(F.lit(1)).alias("n")), "reps")
     grids_ = F.array(*[F.array(*[F.lit(_signed(m)) for m in g]) for g in sampled_grids(reps.count(), similarity)])
     even = F.lit(_signed(int(EVEN)))
@@ -362,18 +456,21 @@ def _similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, id
     cells = reps.select("node", *names, *[unary(c).alias(f"u{k}") for k, c in enumerate(names)], F.posexplode(grids_).alias("grid", "mask"))
     cells = cells.select(F.xxhash64("grid", *[F.col(f"u{k}").bitwiseAND(F.col("mask")[k]) for k in range(PARTS)]).alias("cell"), "node", *names)
     ready = spread_by(cells, "cell").sortWithinPartitions("cell")
-    edges = staged(map_arrow(ready, _wide_edges(distance_limit(similarity)), "a bigint, b bigint").distinct(), "edges")
+    limit = distance_limit(similarity)
+    loose = connected_components(staged(map_arrow(ready, _wide_edges(limit), "a bigint, b bigint").distinct(), "edges"))
+    groups = staged(reps.join(loose, "node").select("node", "first", *names, F.col("component").alias("key")), "groups")
+    edges = staged(_verified_edges(docs, groups, similarity, words, id_col, text_col), "verified")
     labels = connected_components(edges)
     joined = reps.select("node", "first", "n").join(labels, "node", "left").select("node", "first", "n", F.coalesce("component", "node").alias("label"))
     return fp.select("doc_id", "text_key", "node"), staged(joined, "labels")
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id, kept) of every row: links at a shingle similarity of ``similarity`` or more, as wide fingerprints tell it.
+    """(doc_id, component_id, kept) of every row: links at a Jaccard similarity of ``similarity`` or more of the sets of shingles.
 
     At such a threshold fingerprints of 64 bits differ in ten bits and more, so they have PARTS * 64 bits
     here, and grids are sampled: a pair at the threshold shares a cell with probability RECALL, closer ones
-    more surely. The number of grids grows as about the third root of the number of documents. Nulls, empty
+    more surely. What is found that way links only if the sets have the similarity. The number of grids grows as about the third root of the number of documents. Nulls, empty
     texts, repeated rows and empty tables are treated as in ``near_duplicates``.
     """
     rows, joined = _similar_groups(docs, similarity, words, id_col, text_col)

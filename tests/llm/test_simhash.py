@@ -143,3 +143,26 @@ def test_null_and_repeated_ids(spark, options):
     rows = [(None, a, "k", 1), (None, b, "k", 1), (None, b, "k", 1), (5, c, "k", 1), (5, d, "k", 1), (5, d, "k", 2), (5, e, "k", 1), (2, e, "k", 1), (None, f, "k", 1), (9, f, "k", 1)]
     got = drop_near_duplicates(spark.createDataFrame(rows, SCHEMA), **options).collect()
     assert sorted((x.doc_id or 0, x.text) for x in got) == sorted([(0, a), (0, b), (5, c), (5, d), (2, e), (9, f)])
+
+
+@pytest.mark.parametrize("group_rows", [1024, 8])
+def test_similarity_is_exact(spark, monkeypatch, group_rows):
+    """Pairs just above the threshold link, pairs just below do not, and repeats within a text do not count."""
+    monkeypatch.setattr(simhash, "GROUP_ROWS", group_rows)
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for n in range(120):
+        base = [word() for _ in range(200)]
+        k = 4 if n % 2 else 6  # replaced words far from each other: (196 - 5k) / (196 + 5k) is 0.815 or 0.734
+        texts += [base, [word() if i % 30 == 10 and i < 30 * k else w for i, w in enumerate(base)]]
+    loud = [word() for _ in range(20)]
+    texts += [[word() for _ in range(60)] + loud * 40, [word() for _ in range(60)] + loud * 40]
+    base = [word() for _ in range(100)]
+    texts += [[*base[:50], f"v{i}", *base[51:]] for i in range(40)]
+    rows = [(i, " ".join(t), "k", 1) for i, t in enumerate(texts)]
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    linked = [got[i] == got[i + 1] for i in range(0, 240, 2)]
+    assert sum(linked[1::2]) >= 59 and not any(linked[::2])
+    assert got[240] != got[241]
+    assert {got[i] for i in range(242, 282)} == {242}
