@@ -28,9 +28,8 @@ from .decontaminate import TABLE, WORD
 
 #: Words of a shingle, of a paragraph, and shingles of which one starts a paragraph (49 words in a row are found for sure).
 SHINGLE, WORDS, SPAN = 5, 24, 26
-#: Bands and MinHash values of a band: a pair at Jaccard 0.8 meets with probability 0.65 in one paragraph; edits
-#: leave whole paragraphs of a passage equal or overlap them differently, so a passage has several chances.
-BANDS, VALUES, SIMILAR = 2, 4, 0.8
+#: Bands and MinHash values of a band: a pair of paragraphs at Jaccard 0.8 meets with probability 1 - (1 - 0.8 ** 3) ** 5 = 0.97.
+BANDS, VALUES, SIMILAR = 5, 3, 0.8
 BUCKET_ROWS, BLOCK = 1024, 1 << 18
 SET = WORDS - SHINGLE + 1
 U = np.uint64

@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+
 from strandline.llm import passages as p
 
 SCHEMA = "doc_id long, text string, kept string, h int"
@@ -105,3 +107,14 @@ def test_starts():
             assert at[0] < p.SPAN and at[-1] <= n - p.WORDS < at[-1] + p.SPAN and all(b - a <= p.SPAN for a, b in zip(at, at[1:]))
     long = [b"x" * (p.BLOCK + 5) + b" y" * 40]
     assert sum(len(c.at) for c in p.cut(long)) > 0
+
+
+def test_band_recall():
+    """Of pairs of paragraphs at the least Jaccard similarity from 0.8 on (18 of 22 shingles), 0.95 and more meet in a band."""
+    r = np.random.default_rng(4)
+    met, n = 0, 1500
+    for _ in range(n):
+        x = p.mix(r.integers(1, 1 << 63, p.SET + 2, dtype=np.uint64))
+        a, b = (p.band_keys(s, np.array([0])) for s in (x[: p.SET], x[2:]))
+        met += bool((a == b).any())
+    assert met >= 0.95 * n
