@@ -1,17 +1,20 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, and one that puts what toxic text has
-more often than ordinary text (word beginnings, by Dunning's log-likelihood ratio) before the ordinary
-content. Both end alike, so a window compresses alike with either unless it holds toxic material; the
-difference of the two lengths is its distance. A document's windows are summed up as shares of
-distances at or above thresholds, and a logistic calibration, fitted on labelled documents that the
-dictionaries have not seen, turns these into a score.
+Two zstandard dictionaries of equal size are trained, one on toxic and one on ordinary text, and both are put
+before the same ordinary history, which a third training makes. A window's distance is the number of bytes that it
+takes less with the toxic dictionary than with the ordinary one; the history covers what both kinds of text have,
+so most windows take as many with either.
+
+Only some windows of a toxic document are toxic, so training goes in rounds over two halves of the documents: each
+half is measured with the dictionaries of the other, and the next round trains on the share of windows that are
+the most toxic of their class (of toxic documents: what is likely toxic; of ordinary ones: what is taken for
+toxic most easily). Documents that no dictionary has seen calibrate the score: a logistic function of the shares
+of windows at or above thresholds of the distance.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,20 +26,24 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, map_arrow, spread
 
-#: Expected number of labelled documents of a class to learn from, longest text among them, bytes of the dictionaries.
-TRAIN_DOCS, TRAIN_CHARS, ORDINARY_BYTES, TOXIC_BYTES = 2500, 30_000, 8192, 16384
-WINDOW, LEVEL = 64, 9
-#: A word beginning is toxic material at this log-likelihood ratio and at this multiple of the ordinary rate.
-LEAST_RATIO, LEAST_LIFT = 40.0, 5.0
-STEPS = (1, 2, 3, 4, 5, 6)
-WORD = re.compile(r"[^\W\d_]+")
+#: Expected number of labelled documents of a class to learn from, longest text among them (whole texts are scored).
+TRAIN_DOCS, TRAIN_CHARS = 2500, 30_000
+#: Bytes of a window, of a sample of the history and of the history; bytes and share of windows of each round's dictionaries.
+WINDOW, SAMPLE, HISTORY = 32, 256, 1 << 18
+ROUNDS = ((16384, 1.0), (8192, 0.3), (4096, 0.1), (2048, 0.04))
+#: Segment and part of a segment that zstandard's trainer counts; shortest match and level of the compressors.
+SEGMENT, PART, MATCH, LEVEL = 16, 6, 5, 9
+STEPS = (2, 3, 4, 5, 6, 8)
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 @dataclass
 class Model:
+    """Dictionaries of equal size, their common history, and the calibration (empty without labels of both classes)."""
+
     ordinary: bytes
     toxic: bytes
+    history: bytes
     weights: np.ndarray
 
 
@@ -53,80 +60,59 @@ def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
     return out
 
 
+def compressor(content: bytes):
+    """Compresses a window after ``content``; frames have no size, checksum or id, so lengths are those of the data."""
+    d = zstandard.ZstdCompressionDict(content or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    made = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=len(content), min_match=MATCH, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+    d.precompute_compress(compression_params=made)
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=made).compress
+
+
 class Distance:
     """Compressors of both dictionaries, made once in each worker and task."""
 
-    def __init__(self, model: Model) -> None:
-        def made(content: bytes):
-            d = zstandard.ZstdCompressionDict(content or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(LEVEL)
-            return zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress
-        # of equal size, so that the ordinary content lies at equal offsets in both
-        self.ordinary, self.toxic = made(b"\0" * len(model.toxic) + model.ordinary), made(model.toxic + model.ordinary)
+    def __init__(self, ordinary: bytes, toxic: bytes, history: bytes) -> None:
+        self.ordinary, self.toxic = compressor(ordinary + history), compressor(toxic + history)
 
-    def features(self, text: bytes | None) -> np.ndarray:
-        """Logarithms of counts and of shares of windows at each threshold, and of the total distance a window."""
-        w = windows((text or b"").translate(LOWER))
+    def of(self, pieces: list[bytes]) -> np.ndarray:
         a, b = self.ordinary, self.toxic
-        d = np.array([len(a(x)) - len(b(x)) for x in w], np.int64)
-        n = max(1, len(w))
-        at = np.array([(d >= s).sum() for s in STEPS], float)
-        return np.concatenate([[1.0], np.log1p(at), np.log1p(20 * at / n), [np.log1p(20 * np.maximum(d, 0).sum() / n), np.log1p(d.max(initial=0)), np.log(n)]])
-
-
-def beginnings(text: str) -> set[str]:
-    return {w[:k] for w in set(WORD.findall(text.lower())) for k in range(4, min(len(w), 16) + 1)}
-
-
-def toxic_material(toxic: list[str], ordinary: list[str], limit: int = TOXIC_BYTES) -> bytes:
-    """Word beginnings typical of toxic texts, the most typical last, where offsets are shortest."""
-    seen = [Counter(), Counter()]
-    for k, texts in enumerate((ordinary, toxic)):
-        for t in texts:
-            seen[k].update(beginnings(t))
-    n1, n0 = len(toxic), len(ordinary)
-    if not n1 or not n0:
-        return b""
-
-    def likely(k: float, n: float, p: float) -> float:
-        p = min(max(p, 1e-12), 1 - 1e-12)
-        return k * np.log(p) + (n - k) * np.log(1 - p)
-
-    found = {}
-    for w, a in seen[1].items():
-        b = seen[0][w]
-        if a >= 3 and a * n0 > LEAST_LIFT * b * n1:
-            p = (a + b) / (n1 + n0)
-            g = 2 * (likely(a, n1, a / n1) + likely(b, n0, b / n0) - likely(a, n1, p) - likely(b, n0, p))
-            if g > LEAST_RATIO:
-                found[w] = (g, a)
-    # the shortest typical beginnings, carried on as long as nearly all their texts carry them on alike
-    after: dict[str, tuple[int, str]] = {}
-    for w, (_, a) in found.items():
-        after[w[:-1]] = max(after.get(w[:-1], (0, "")), (a, w))
-    ends = {}
-    for w in found:
-        if w[:-1] not in found:
-            g, a = found[w]
-            while after.get(w, (0, ""))[0] >= 0.9 * a:
-                w = after[w][1]
-            ends[w] = g
-    kept = sorted(((g, w) for w, g in ends.items()), reverse=True)
-    out, size = [], 0
-    for _, w in kept:
-        size += len(w.encode()) + 1
-        if size > limit:
-            break
-        out.append(w)
-    return (" " + " ".join(reversed(out)) + " ").encode() if out else b""
+        return np.array([len(a(x)) - len(b(x)) for x in pieces], np.int64)
+
+    def features(self, text: bytes | None) -> np.ndarray:
+        """Logarithms of the share of windows at each threshold, and of the mean of positive distances."""
+        d = self.of(windows((text or b"").translate(LOWER)))
+        n = max(1, len(d))
+        shares = [*[(d >= s).sum() for s in STEPS], np.maximum(d, 0).sum()]
+        return np.concatenate([[1.0], np.log1p(50 * np.array(shares, float) / n)])
 
 
-def ordinary_content(texts: list[str], size: int = ORDINARY_BYTES) -> bytes:
-    samples = [x for t in texts for x in windows(t.lower().encode(), 256)]
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary of exactly ``size`` bytes; too few samples are taken as they are."""
+    some = [x for x in samples if len(x) >= 8]
     try:
-        return zstandard.train_dictionary(size, samples[:20000]).as_bytes()
-    except zstandard.ZstdError:  # too few samples
-        return b"".join(samples)[:size]
+        content = zstandard.train_dictionary(size, some, k=SEGMENT, d=PART).as_bytes()
+    except zstandard.ZstdError:
+        content = b"".join(some)[:size]
+    return content.rjust(size, b"\0")
+
+
+def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], history: bytes) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) of the windows of each half of either class's documents."""
+    classes = (ordinary, toxic)
+    chosen = [list(halves) for halves in classes]
+    made: list[list[bytes]] = []
+    for k, (size, share) in enumerate(ROUNDS):
+        if k:
+            for half in (0, 1):
+                distance = Distance(made[0][1 - half], made[1][1 - half], history)
+                for c in (0, 1):
+                    d = distance.of(classes[c][half])
+                    mixed = np.random.default_rng(k).permutation(len(d))  # ties fall to no document in particular
+                    best = mixed[np.argsort(-d[mixed], kind="stable")[: max(256, round(share * len(d)))]]
+                    chosen[c][half] = [classes[c][half][i] for i in np.sort(best)]
+        made = [[trained(x, size) for x in halves] for halves in chosen]
+    last = ROUNDS[-1][0]
+    return trained(chosen[0][0] + chosen[0][1], last), trained(chosen[1][0] + chosen[1][1], last)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -145,8 +131,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn: Column | None = None, train_docs: int = TRAIN_DOCS) -> Model:
     """Learns from labelled rows for which ``learn`` holds: an expected ``train_docs`` of each class, drawn by a hash.
 
-    Two thirds of the sample make the dictionaries, one third the calibration. Null labels are none;
-    an id with both labels counts as both. Without a class the score is 0.5 at most: everything is 0.
+    Two thirds of the sample make the dictionaries, one third the calibration, told apart by a hash of the id. Null
+    labels are none; an id with both labels counts as both. Without a class every score is 0.
     """
     rows = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     rows = rows.where(learn) if learn is not None else rows
@@ -155,20 +141,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = F.when(F.col("y") == 1, F.lit(min(1.0, train_docs / max(1, per.get(1, 0))))).otherwise(F.lit(min(1.0, train_docs / max(1, per.get(0, 0)))))
     drawn = rows.where(u < share)
     texts = docs.where(F.length(text_col).between(1, TRAIN_CHARS)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    sample = texts.join(F.broadcast(drawn), F.col("_id") == F.col("id")).select("id", "y", "text").toPandas().sort_values(["id", "y", "text"])
-    part = sample["id"].map(lambda i: hash((int(i), 1)) % 3 if i is not None else 0)
-    fit, cal = sample[part != 0], sample[part == 0]
-    toxic, ordinary = fit[fit["y"] == 1]["text"].tolist(), fit[fit["y"] == 0]["text"].tolist()
-    model = Model(ordinary_content(ordinary), toxic_material(toxic, ordinary), np.zeros(0))
-    if cal["y"].nunique() < 2:
+    found = texts.join(F.broadcast(drawn), F.col("_id") == F.col("id")).select(F.col("id").cast("string").alias("id"), "y", "text")
+    sample = found.toPandas().sort_values(["id", "y", "text"])
+    part = sample["id"].map(lambda i: zlib.crc32(f"part {i}".encode()) % 3)
+    lower = sample["text"].map(lambda t: t.encode().translate(LOWER))
+
+    def pieces(y: int, *parts: int, size: int = WINDOW) -> list[bytes]:
+        return [w for t in lower[(sample["y"] == y) & part.isin(parts)] for w in windows(t, size)]
+
+    history = trained(pieces(0, 1, 2, size=SAMPLE), HISTORY)  # not of the calibration
+    model = Model(*dictionaries([pieces(1, 1), pieces(1, 2)], [pieces(0, 1), pieces(0, 2)], history), history, np.zeros(0))
+    y = sample["y"][part == 0].to_numpy(float)
+    if len(set(y)) < 2:
         return model
-    distance = Distance(model)
-    x = np.array([distance.features(t.encode()) for t in cal["text"]])
-    y = cal["y"].to_numpy(float)
-    # a class drawn at another rate is brought back to its share by the intercept
+    distance = Distance(model.ordinary, model.toxic, model.history)
+    x = np.array([distance.features(t) for t in lower[part == 0]])
     model.weights = logistic(x, y)
-    odds = np.log(per[1] / per[0]) - np.log(y.mean() / (1 - y.mean()))
-    model.weights[0] += odds
+    # a class drawn at another rate is brought back to its share by the intercept
+    model.weights[0] += np.log(per[1] / per[0]) - np.log(y.mean() / (1 - y.mean()))
     return model
 
 
@@ -178,7 +168,7 @@ def with_score(rows: DataFrame, model: Model, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        distance = Distance(m)
+        distance = Distance(m.ordinary, m.toxic, m.history)
         for b in batches:
             texts = as_bytes(b.column(b.schema.get_field_index(text_col)))
             z = [float(np.clip(distance.features(t) @ m.weights, -30, 30)) if len(m.weights) else -30.0 for t in texts]
@@ -191,8 +181,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(doc_id, held_out, score, predicted) of every row; nothing is learned from the fold.
 
     A null or empty text has no windows and gets the score of a text without distances. Rows that
-    repeat are scored alike; labels of unknown ids are ignored. The drawn sample of labels is bounded
-    by its expected 2 * TRAIN_DOCS rows, which is what the join broadcasts.
+    repeat are scored alike; ids may be of any type; labels of unknown ids are ignored, and without
+    labels of both classes every score is 0. The drawn sample of labels is bounded by its expected
+    2 * TRAIN_DOCS rows, which is what the join broadcasts; the driver holds their texts of
+    TRAIN_CHARS characters at most.
     """
     of = lambda c: F.coalesce(F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
     model = train(docs, labels, id_col, text_col, learn=~of(F.col("id")) & F.col("id").isNotNull())

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import zstandard
 
 from strandline.llm import toxicity as X
 
@@ -49,3 +50,29 @@ def test_without_labels_or_documents(spark):
     assert {r.predicted for r in X.toxicity(a, b.limit(0)).collect()} == {0}
     assert {r.predicted for r in X.toxicity(a, b.where("toxic = 1")).collect()} == {0}
     assert X.toxicity(a.limit(0), b).collect() == []
+
+
+def plain_length(window, content):
+    """Length of a window's frame by a compressor that is made for it alone."""
+    made = zstandard.ZstdCompressionParameters.from_level(X.LEVEL, source_size=X.WINDOW, dict_size=len(content), min_match=X.MATCH, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=made)
+    return len(zstandard.ZstdCompressor(dict_data=d, compression_params=made).compress(window))
+
+
+def test_distances_are_differences_of_compressed_lengths():
+    docs, labels = corpus(300)
+    toxic = [[w for (i, t, _), (_, y, _) in zip(docs, labels) if y and i % 8 // 4 == h for w in X.windows(t.encode())] for h in (0, 1)]
+    ordinary = [[w for (i, t, _), (_, y, _) in zip(docs, labels) if not y and i % 2 == h for w in X.windows(t.encode())] for h in (0, 1)]
+    history = X.trained(ordinary[0], 4096)
+    o, t = X.dictionaries(toxic, ordinary, history)
+    assert len(o) == len(t) == X.ROUNDS[-1][0] and (o, t) == X.dictionaries(toxic, ordinary, history)
+    some = [*toxic[0][:40], *ordinary[1][:40], b"x", b"vilefoo " * 4]
+    assert X.Distance(o, t, history).of(some).tolist() == [plain_length(w, o + history) - plain_length(w, t + history) for w in some]
+
+
+def test_text_ids(spark):
+    docs, labels = corpus(300)
+    a = spark.createDataFrame([(f"d{i}", t) for i, t, _ in docs], "doc_id string, text string")
+    b = spark.createDataFrame([(f"d{i}", y) for i, y, _ in labels], "doc_id string, toxic int")
+    assert X.toxicity(a, b).count() == 300
