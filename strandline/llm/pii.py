@@ -33,9 +33,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"[ :#.]{0,3}([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 SSN = re.compile(r"[ :#.]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 NUMBER = re.compile(r"(?:[ ]?(?:no|nr|number|id)\b)?[ :#.=]{1,4}([A-Z0-9][A-Z0-9-]{4,22}[A-Z0-9])(?![A-Za-z0-9-])")
-VALUE = re.compile(r"[ ]?[=:][ ]?['\"]?([^\s'\"&,;]{6,200})")
+VALUE = re.compile(r"[ ]?[=:][ ]?['\"]?([^\s'\"&,;]{6,})")
 AWS = re.compile(r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")
-USERINFO = re.compile(r"[^\s/@:]{1,100}(?::[^\s/@]{1,100})?@[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s\"'<>,;]*)?")
+STOP = re.compile(r"[\s/@]")
+USERINFO = re.compile(r"[^\s/@:]+(?::[^\s/@]+)?@[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s\"'<>,;]*)?")
 
 #: Cues by the parser that they announce; each also with its first or all letters in upper case.
 CUES = {
@@ -69,6 +70,12 @@ def luhn(digits: str) -> bool:
     return (own + twice) % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """At most 255; zeros may lead, any number of them."""
+    value = digits.lstrip("0")
+    return len(value) <= 3 and int(value or "0") <= 255
+
+
 def mod97(iban: str) -> bool:
     s = iban.replace(" ", "")
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
@@ -88,13 +95,14 @@ def find(text: str | None, auto: ahocorasick.Automaton) -> list[tuple[str, int,
         return []
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     end = dict.fromkeys(("email", "ip", "card", "phone", "run", "spelled", "number", "value"), 0)
+    run = (-1, -1)
     for last, (kind, n) in auto.iter(text):
         at = last - n + 1
         if kind == "digit":
             if at >= end["run"]:  # the first digit of a run starts octets
                 if m := OCTETS.match(text, at) if at >= end["ip"] else None:
                     end["ip"] = m.end()
-                    if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.groups()):
+                    if all(octet(x) for x in m.groups()):
                         out["ip"].append(m.span())
                 i = at + 1
                 while i < len(text) and "0" <= text[i] <= "9":
@@ -134,8 +142,12 @@ def find(text: str | None, auto: ahocorasick.Automaton) -> list[tuple[str, int,
                 end["value"] = m.end()
         elif kind == "aws" and (m := AWS.match(text, at)):
             out["secret"].append(m.span())
-        elif kind == "scheme" and (m := USERINFO.match(text, last + 1)):
-            out["url"].append((at, m.end()))
+        elif kind == "scheme":
+            if not run[0] <= last < run[1]:  # user data end at the next of these, which is sought once
+                stop = STOP.search(text, last + 1)
+                run = (last, stop.start() if stop else len(text))
+            if text[run[1] : run[1] + 1] == "@" and (m := USERINFO.match(text, last + 1)):
+                out["url"].append((at, m.end()))
     return [(k, a, b) for k in KINDS for a, b in sorted(set(out[k]))]
 
 
@@ -182,11 +194,17 @@ def with_pii(rows: DataFrame, text_col: str, redacted: bool = False) -> DataFram
 
 
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all of them)."""
+    """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all of them),
+    and n_account, n_secret, n_url and n_spelled (written-out addresses), which are additions.
+
+    Null and empty texts have no spans. Texts are scanned whole; every kind's scan starts behind its last match.
+    """
     rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")))
     p = F.col("_pii")
     n = lambda k: F.size(F.filter(p["spans"], lambda s: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
-    return with_pii(rows, "_text").select("doc_id", *[n(k) for k in BASE], F.sha2(p["base_told"], 256).alias("base_sha256"), p["told"].alias("spans"))
+    more = lambda k, name: F.size(F.filter(p["spans"], lambda s: ~s["base"] & (s["kind"] == k))).cast("long").alias(name)
+    added = [*[more(k, f"n_{k}") for k in KINDS[len(BASE) :]], more("email", "n_spelled")]
+    return with_pii(rows, "_text").select("doc_id", *[n(k) for k in BASE], F.sha2(p["base_told"], 256).alias("base_sha256"), p["told"].alias("spans"), *added)
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:

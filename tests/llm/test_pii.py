@@ -44,6 +44,18 @@ def test_additions():
     assert not any("1234567" in v for k, v in kinds if k == "account")
 
 
+def test_long_runs():
+    """Digits, zeros, user data and secrets of any length; work stays in proportion to the text."""
+    zeros = "0" * 5000 + ".1.1." + "0" * 6000 + "255 " + "0" * 5000 + ".1.1.256"
+    assert P.base_spans(P.find(zeros, AUTO), zeros)[0] == ("ip", 0, 11008)
+    assert [s for s in P.base_spans(P.find(zeros, AUTO), zeros) if s[0] == "ip"] == [("ip", 0, 11008)]
+    secret = "password=" + "s3" * 4000
+    assert ("secret", 9, len(secret)) in P.find(secret, AUTO) and "s3" not in P.redact(secret, P.find(secret, AUTO))
+    url = "https://" + "u" * 3000 + ":" + "p" * 3000 + "@host.org/"
+    assert ("url", 0, len(url)) in P.find(url, AUTO)
+    assert P.find("mailto:" * 60_000, AUTO) == [] and P.find("1" * 300_000, AUTO) == []
+
+
 def test_report_and_redaction(spark):
     rows = [(1, "é mail a.b@c.de and +1 (555) 123-4567", "x"), (2, None, None), (3, "", ""), (None, "1.2.3.4", ""), (1, "é mail a.b@c.de and +1 (555) 123-4567", "x"), (4, "no data " * 100000 + "z@y.xx", "")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
@@ -51,6 +63,7 @@ def test_report_and_redaction(spark):
     for (i, t, _), r in zip(sorted(rows, key=str), sorted(got, key=lambda r: str((r.doc_id, next(t for i, t, _ in rows if i == r.doc_id)))), strict=True):
         base = plain(t or "")
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, _, _ in base) for x in P.BASE]
+        assert [r.n_account, r.n_secret, r.n_url, r.n_spelled] == [0, 0, 0, 0]
         assert r.base_sha256 == hashlib.sha256(P.told(base).encode()).hexdigest() and r.doc_id == i
     out = {r.doc_id: r.text for r in P.redacted(df).collect()}
     assert out[1] == "é mail <EMAIL> and <PHONE>" and out[2] is None and out[None] == "<IP>"
