@@ -44,10 +44,11 @@ def spread_of_lines(lines: DataFrame, min_sites: int = MIN_SITES, margin: float
 
 
 def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with ``_clean``, ``_lines`` and ``_removed``: text without boilerplate, lines, lines removed.
+    """(row, clean, lines, removed): each row of ``docs`` as a struct, its text without boilerplate, lines, lines removed.
 
     Of a boilerplate line one occurrence stays, in the document with the smallest id (null ids last);
-    documents that repeat as whole rows are treated alike. Null text stays null, with no lines. Only
+    documents that repeat as whole rows are treated alike. Null text stays null, with no lines; an empty
+    text has one line. Columns of ``docs`` may have any names. Lines are told apart by a 64-bit hash. Only
     hashes are shuffled to find boilerplate; texts move once, by id, unless Spark knows the list of
     removals to be below its broadcast threshold.
     """
@@ -56,25 +57,29 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hit = lookup(lines.select("doc_id", "doc_key", "pos", "h"), boiler, "h", "n").where(F.col("first").isNotNull())
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key", "pos")
     gone = hit.where(~first.eqNullSafe(F.col("first")))
-    gone = staged(gone.distinct().groupBy(F.col("doc_id").alias("_d"), F.col("doc_key").alias("_k")).agg(F.collect_list("pos").alias("_gone")), "removals")
-    rows = docs.withColumn("_key", F.xxhash64(F.col(text_col)))
-    out = rows.join(gone, F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left").drop("_d", "_k", "_key")
-    split = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = out.withColumn("_clean", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept))
-    out = out.withColumn("_lines", F.coalesce(F.size(split), F.lit(0)).cast("long"))
-    out = out.withColumn("_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("_lines")))
-    return out.withColumn("_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).withColumn("_removed", F.greatest("_removed", F.lit(0))).drop("_gone")
+    gone = staged(gone.distinct().groupBy(F.col("doc_id").alias("gone_id"), F.col("doc_key").alias("gone_key")).agg(F.collect_list("pos").alias("gone")), "removals")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("key"))
+    out = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left")
+    split = F.split("text", "\n", -1)
+
+    def kept(all_lines: Column) -> Column:
+        """Lines at positions that are not gone; set difference and look-ups by position keep this linear."""
+        at = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("gone"))
+        return F.array_join(F.transform(at, lambda i: F.get(all_lines, i)), "\n")
+
+    clean = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.element_at(F.transform(F.array(split), kept), 1))
+    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(split)).cast("long")
+    return out.select("row", clean.alias("clean"), n.alias("lines"), F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("removed"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, clean_sha256 (of the cleaned text; null text as empty)."""
     out = clean_lines(docs, id_col=id_col, **options)
-    return out.select(F.col(id_col).alias("doc_id"), F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("_clean", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
+    return out.select(F.col("row").getField(id_col).alias("doc_id"), F.col("lines").alias("n_lines"), F.col("removed").alias("n_removed"), F.sha2(F.coalesce("clean", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
 
 
 def without_boilerplate(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with boilerplate lines removed; a document goes only if nothing but such lines was in it."""
+    """``docs`` with boilerplate lines removed, other columns as they were; a document goes only if nothing but such lines was in it."""
     out = clean_lines(docs, text_col=text_col, **options)
-    empty = (F.col("_removed") > 0) & ~F.col("_clean").rlike(r"\S")
-    return out.where(~F.coalesce(empty, F.lit(False))).select(*[F.col("_clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    empty = (F.col("removed") > 0) & ~F.col("clean").rlike(r"\S")
+    return out.where(~F.coalesce(empty, F.lit(False))).select(*[F.col("clean").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -40,12 +40,12 @@ def plain(rows, sites):
 def test_against_counts(spark, sites):
     rows = corpus()
     got = N.clean_lines(spark.createDataFrame(rows, SCHEMA), min_sites=sites).collect()
-    assert sorted(map(str, ((r.doc_id, r._clean) for r in got))) == sorted(map(str, plain(rows, sites)))
+    assert sorted(map(str, ((r.row.doc_id, r.clean) for r in got))) == sorted(map(str, plain(rows, sites)))
     texts = {}
     for i, t, *_ in rows:
         texts[i] = len((t or "").split("\n")) if t is not None else 0
-    assert {r.doc_id: r._lines for r in got} == texts
-    assert all(r._lines - r._removed == (len(r._clean.split("\n")) if r._clean else r._lines - r._removed) for r in got)
+    assert {r.row.doc_id: r["lines"] for r in got} == texts
+    assert all(r["lines"] - r.removed == (len(r.clean.split("\n")) if r.clean else r["lines"] - r.removed) for r in got)
 
 
 def test_near_the_threshold(spark):
@@ -66,3 +66,14 @@ def test_drop_only_emptied_and_empty_table(spark):
     want = {i for i, t in plain(rows, 3) if t is None or t.strip() or not (dict((r[0], r[1]) for r in rows)[i] or "").strip()}
     assert ids == want
     assert N.line_report(df.limit(0)).collect() == []
+
+
+def test_clashing_columns_and_long_texts(spark):
+    names = ["row", "clean", "lines", "removed", "gone", "gone_id", "gone_key", "id", "key", "h", "n", "pos", "first", "site", "line", "doc_key", "_key", "_d", "_k", "_gone", "_clean", "_lines", "_removed"]
+    common = [f"line {k} that all sites have" for k in range(40_000)]
+    rows = [(i, "\n".join(common if i < 2 else common[:3]), f"s{i}", *[f"{c} {i}" for c in names]) for i in range(12)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    got = {r.doc_id: r for r in N.without_boilerplate(df, min_sites=10).collect()}
+    assert set(got) == {0, 1}  # the others have nothing of their own
+    assert got[0].text == rows[0][1] and got[1].text == "\n".join(common[3:])
+    assert all(got[i][c] == f"{c} {i}" for i in got for c in names)
