@@ -28,27 +28,41 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _ranked(per: DataFrame) -> DataFrame:
+    """``per`` with ``rank`` from 0 by the code points of ``source``, null last.
+
+    Range partitions are sorted by themselves; each is offset by the rows of those before it, so the only
+    window without a key runs over one row per partition.
+    """
+    parts = int(per.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = (F.col("source").isNull(), F.col("source"))
+    at = F.monotonically_increasing_id()  # partition, then position in it
+    own = per.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", at)
+    own = staged(own.select("*", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("i")).drop("at"), "ranked")
+    rows = own.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    before = F.sum("rows").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    return own.join(rows, "part").withColumn("rank", F.col("before") + F.col("i")).drop("part", "i", "before")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
     """(source, source_size, n, target): water-filling of ``share`` of all words by weight.
 
     Targets stop at ``cap`` times a source's size and the excess is shared again by weight until none
-    is above. Sources are few; the windows run over one row per source.
+    is above: each round is one aggregation over the sources, however many they are, and sources that
+    stop never start again. The level of a round is the target of weight 1.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("limit", F.lit(float(cap)) * F.col("source_size"))
-    order = W.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
-    per = per.withColumn("i", F.row_number().over(order))
-    total = F.sum("source_size").over(W.partitionBy()) * F.lit(float(share))
-    before = F.coalesce(F.sum("limit").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    behind = F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing))
-    per = per.withColumn("level", (total - before) / behind)
-    # with sources in order of limit / weight, the capped ones come first
-    open_ = F.col("level") <= F.col("limit") / F.col("weight")
-    per = per.withColumn("first", F.min(F.when(open_, F.col("i"))).over(W.partitionBy()))
-    per = per.withColumn("level", F.max(F.when(F.col("i") == F.col("first"), F.col("level"))).over(W.partitionBy()))
-    target = F.when(F.col("first").isNull() | (F.col("i") < F.col("first")), F.col("limit")).otherwise(F.least(F.col("limit"), F.col("level") * F.col("weight")))
-    return per.select("source", "source_size", "n", target.alias("target"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    per = staged(_ranked(per).select("source", "source_size", "n", weight.alias("weight"), (F.lit(float(cap)) * F.col("source_size")).alias("limit")), "sources")
+    level, stopped = 0.0, -1
+    while True:
+        open_ = F.col("limit") > F.lit(level) * F.col("weight")
+        row = per.agg(F.sum("source_size").alias("all"), F.count_if(~open_).alias("stopped"), F.coalesce(F.sum(F.when(~open_, F.col("limit"))), F.lit(0.0)).alias("given"), F.sum(F.when(open_, F.col("weight"))).alias("open")).first()
+        if row["all"] is None or row["open"] is None or row["stopped"] == stopped:  # no source, or none open, or as before
+            break
+        stopped, level = row["stopped"], (share * row["all"] - row["given"]) / row["open"]
+    return per.select("source", "source_size", "n", F.least(F.col("limit"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def _meet(acc: Column, item: Column) -> Column:
@@ -140,9 +154,16 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     return found.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: the rows of ``docs``, each as often as the plan takes it, with ``copy`` from 1."""
+def mix(docs: DataFrame, copy_col: str = "copy", **options) -> DataFrame:
+    """The mixed corpus: the rows of ``docs``, each as often as the plan takes it, with ``copy_col`` from 1.
+
+    All columns come back as they were; a ``copy_col`` that ``docs`` has already is an error.
+    """
+    if copy_col in docs.columns:
+        raise ValueError(f"the documents have a column {copy_col!r} already: name another copy_col")
     id_col, source_col = options.get("id_col", "doc_id"), options.get("source_col", "source")
-    plan = mix_plan(docs, **options).where("copies > 0").select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("copies").alias("_copies"))
-    found = docs.join(plan, docs[source_col].eqNullSafe(plan["_s"]) & docs[id_col].cast("long").eqNullSafe(plan["_d"]))
-    return found.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
+    plan = mix_plan(docs, **options).where("copies > 0").select("source", "doc_id", "copies")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source_col}`").alias("own_source"), F.col(f"`{id_col}`").cast("long").alias("own_id"))
+    found = rows.join(plan, F.col("own_source").eqNullSafe(F.col("source")) & F.col("own_id").eqNullSafe(F.col("doc_id")))
+    found = found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("copy").alias(copy_col))

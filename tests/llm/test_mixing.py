@@ -1,7 +1,9 @@
 import random
 from collections import defaultdict
 
-from strandline.llm.mixing import mix, mix_report
+import pytest
+
+from strandline.llm.mixing import mix, mix_report, source_targets
 
 SCHEMA = "doc_id long, text string, source string, copies int, size string"
 
@@ -70,3 +72,23 @@ def test_mix_rows_and_empty(spark):
     assert out.columns == [*df.columns, "copy"]
     assert out.count() == report
     assert mix(df.limit(0)).collect() == [] and mix_report(df.limit(0)).collect() == []
+
+
+def test_many_sources(spark):
+    """Ranks and levels over range partitions are those of one sorted list."""
+    r = random.Random(8)
+    sizes = {("s%05d" % r.randrange(10**5)) + r.choice(["", "é", "z"]): r.choice([0, 1, 50, 1000, 10**6]) for _ in range(800)} | {None: 70}
+    df = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    got = {x.source: x for x in source_targets(df, (5, 2, 1), 1.5, 2.0).collect()}
+    want = targets(sizes)
+    assert set(got) == set(want) and all(abs(got[s].target - want[s]) <= 1e-6 * max(1, want[s]) for s in want)
+
+
+def test_clashing_columns(spark):
+    names = ["row", "own_source", "own_id", "copies", "size", "target", "_copies", "_s", "_d"]
+    df = spark.createDataFrame([(i, "w w", "a", *[f"{c} {i}" for c in names]) for i in range(20)], ["doc_id", "text", "source", *names])
+    out = mix(df).collect()
+    assert out and all(x[c] == f"{c} {x.doc_id}" for x in out for c in names)
+    with pytest.raises(ValueError, match="copy"):
+        mix(df.withColumnRenamed("copies", "copy"))
+    assert "again" in mix(df.withColumnRenamed("copies", "copy"), copy_col="again").columns
