@@ -134,9 +134,10 @@ def find_hits(rows: DataFrame, benchmark: DataFrame, text_col: str, window: int
     return out
 
 
-def contaminated(hits, share: int = 20):
-    """At least one word in ``share`` of the document's words is hit."""
-    return (hits["n_hit"] > 0) & (hits["n_hit"] * share >= hits["n_words"])
+def contaminated(hits, share: int | None = 20):
+    """At least one word in ``share`` of the document's words is hit; without ``share`` any word."""
+    some = hits["n_hit"] > 0
+    return some if share is None else some & (hits["n_hit"] * share >= hits["n_words"])
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -147,8 +148,12 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str =
     return found.select("doc_id", h["n_words"].alias("n_words"), h["n_hit"].alias("n_hit"), F.size(h["items"]).cast("long").alias("n_items"), h["items"].alias("items"), h["spans"].alias("spans"), contaminated(h).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns as they were, that are not contaminated."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", share: int | None = None, **options) -> DataFrame:
+    """The rows of ``docs``, all columns as they were, in which no window of an item occurs.
+
+    With ``share``, rows stay whose words are hit at a rate below one in ``share``. Null and empty texts have no
+    words and stay; rows that repeat are decided alike; columns of any name come back unchanged.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
     found = find_hits(rows, benchmark, "_text", **options)
-    return found.where(~contaminated(F.col("_hits"))).select("_row.*")
+    return found.where(~contaminated(F.col("_hits"), share)).select("_row.*")

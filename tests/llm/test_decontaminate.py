@@ -57,6 +57,16 @@ def test_drop_and_empty(spark):
     a, b = spark.createDataFrame(docs, DOC), spark.createDataFrame(bench, ITEM)
     report = d.decontamination_report(a, b)
     kept = d.drop_contaminated(a, b)
-    assert kept.columns == a.columns and kept.count() == report.where("not contaminated").count()
+    assert kept.columns == a.columns and kept.count() == report.where("n_hit = 0").count()
+    assert d.drop_contaminated(a, b, share=20).count() == report.where("not contaminated").count()
     assert d.drop_contaminated(a, b.limit(0)).count() == len(docs)
     assert d.drop_contaminated(a.limit(0), b).count() == 0
+
+
+def test_one_window_in_a_long_document_is_enough_to_drop_it(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    own = [f"own{k}" for k in range(2000)]
+    rows = [(1, " ".join(own[:1200] + item.upper().split()[5:18] + own[1200:]), "x"), (2, " ".join(own[:1200] + item.split()[5:17] + own[1200:]), "x"), (3, None, "x"), (4, "", "x")]
+    a, b = spark.createDataFrame(rows, DOC), spark.createDataFrame([(1, item)], ITEM)
+    assert {r.doc_id for r in d.drop_contaminated(a, b).collect()} == {2, 3, 4}
+    assert {r.doc_id for r in d.drop_contaminated(a, b, share=20).collect()} == {1, 2, 3, 4}
