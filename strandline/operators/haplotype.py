@@ -10,21 +10,26 @@ from . import kmers as K
 
 
 def specific_kmers(parents: DataFrame, k: int, min_count: int = 1) -> DataFrame:
-    """(hap, kmer) of k-mers that exactly one haplotype of ``parents`` (hap, read_id, seq) has ``min_count`` times or more.
+    """(hap, kmer) of k-mers (integers) that exactly one haplotype of ``parents`` (hap, read_id, seq) has ``min_count`` times or more.
 
-    One aggregation replaces a difference for each haplotype: a k-mer stays if its only haplotype is its least and its greatest.
+    One aggregation replaces a difference for each haplotype: a k-mer stays if the hash of its only haplotype is
+    its least and its greatest, and then its number is that of the haplotype.
     """
-    e = K.expand(parents.select(F.struct("hap", "read_id").alias("read_id"), "seq"), k).select(F.col("read_id.hap").alias("hap"), "kmer")
-    per = e.groupBy("kmer", "hap").agg(F.count(F.lit(1)).alias("n"))
-    one = per.groupBy("kmer").agg(F.min("hap").alias("hap"), F.max("hap").alias("_other"), F.max("n").alias("n"))
-    return one.where((F.col("hap") == F.col("_other")) & (F.col("n") >= min_count)).select("hap", "kmer")
+    named = parents.select(F.xxhash64("hap").alias("code"), "seq")
+    per = K.counted_packed(named, k, "code").groupBy("kmer").agg(F.min("code").alias("code"), F.max("code").alias("other"), F.sum("n").alias("n"))
+    one = per.where((F.col("code") == F.col("other")) & (F.col("n") >= min_count)).select("code", "kmer")
+    return one.join(parents.select("hap").distinct().withColumn("code", F.xxhash64("hap")), "code").select("hap", "kmer")
 
 
 def assign(reads: DataFrame, specific: DataFrame, k: int, min_ratio: float = 1.0, min_length: int = 0) -> DataFrame:
     """(read_id, hap, score): matches over the haplotype's number of k-mers; ``ambiguous`` unless the best is unrivalled
-    or over ``min_ratio`` times the second. Reads shorter than ``min_length`` go."""
+    or over ``min_ratio`` times the second. Reads shorter than ``min_length`` go.
+
+    A read's k-mers are counted before they meet ``specific``, so a frequent k-mer joins once a read and batch.
+    """
     sizes = specific.groupBy("hap").agg(F.count(F.lit(1)).alias("n_kmers"))
-    hits = K.expand(reads.where(F.col("len") >= min_length), k).join(specific, "kmer").groupBy("read_id", "hap").agg(F.count(F.lit(1)).alias("matches"))
+    counted = K.counted_packed(reads.where(F.col("len") >= min_length), k, "read_id")
+    hits = counted.join(specific, "kmer").groupBy("read_id", "hap").agg(F.sum("n").alias("matches"))
     scored = hits.join(sizes, "hap").withColumn("score", F.col("matches") / F.col("n_kmers"))
     by = W.partitionBy("read_id").orderBy(F.desc("score"), "hap")
     top = scored.withColumn("rank", F.row_number().over(by)).where("rank <= 2").groupBy("read_id").agg(F.max(F.when(F.col("rank") == 1, F.col("hap"))).alias("best"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("s1"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("score"))), F.lit(0.0)).alias("s2"))

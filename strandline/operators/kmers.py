@@ -1,12 +1,20 @@
-"""k-mer tables: (kmer, count) of canonical k-mers, counted by one combined aggregation."""
+"""k-mer tables: (kmer, count) of canonical k-mers, counted by one combined aggregation.
+
+Up to k = 31 k-mers travel as integers, made and pre-counted in Arrow batches; longer ones as strings.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.seq import canonical, reverse_complement
+from .kernels import packed as P
 
 #: Bases of a piece: substring() counts from the start of its string, so pieces keep expansion linear.
 PIECE = 256
@@ -23,7 +31,57 @@ def expand(reads: DataFrame, k: int, oriented: bool = False) -> DataFrame:
     return mers.select("read_id", "pos", kmer, (F.col("fwd") == canonical(F.col("fwd"))).alias("forward")) if oriented else mers.select("read_id", "pos", kmer)
 
 
+def _texts(column: pa.Array) -> list[bytes]:
+    return [t or b"" for t in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
+
+
+def expand_packed(reads: DataFrame, k: int) -> DataFrame:
+    """(read_id, pos, kmer, forward) as of ``expand``, the k-mer as an integer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, pos, kmer, forward in P.kmers(_texts(b.column(1)), k):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array(pos), pa.array(kmer), pa.array(forward)], names=["read_id", "pos", "kmer", "forward"])
+
+    kind = reads.schema["read_id"].dataType.simpleString()
+    return reads.select("read_id", "seq").mapInArrow(run, f"read_id {kind}, pos bigint, kmer bigint, forward boolean")
+
+
+def counted_packed(reads: DataFrame, k: int, key: str) -> DataFrame:
+    """(key, kmer, n): each k-mer of a batch's rows with the same ``key`` once, with its number there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.column(0).dictionary_encode()
+            code = names.indices.fill_null(len(names.dictionary)).to_numpy().astype(np.int64)
+            found = [(code[text], kmer) for text, _, kmer, _ in P.kmers(_texts(b.column(1)), k)]
+            if not found:
+                continue
+            of, kmer = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((kmer, of))
+            of, kmer = of[order], kmer[order]
+            first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (kmer[1:] != kmer[:-1])]))
+            names_ = pa.concat_arrays([names.dictionary, pa.nulls(1, names.dictionary.type)])
+            yield pa.RecordBatch.from_arrays([names_.take(pa.array(of[first])), pa.array(kmer[first]), pa.array(np.diff(np.append(first, len(of))))], names=[key, "kmer", "n"])
+
+    kind = reads.schema[key].dataType.simpleString()
+    return reads.select(key, "seq").mapInArrow(run, f"`{key}` {kind}, kmer bigint, n bigint")
+
+
+def unpacked(kmer: Column, k: int) -> Column:
+    """An integer k-mer as a string: its digits to base 4."""
+    return F.translate(F.lpad(F.conv(kmer.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+
+
+def count_packed(reads: DataFrame, k: int) -> DataFrame:
+    """(kmer, count) of integer k-mers."""
+    one = reads.select(F.lit(0).alias("all"), "seq")
+    return counted_packed(one, k, "all").groupBy("kmer").agg(F.sum("n").alias("count"))
+
+
 def count(reads: DataFrame, k: int) -> DataFrame:
+    if k <= P.MAX_K:
+        return count_packed(reads, k).select(unpacked(F.col("kmer"), k).alias("kmer"), "count")
     return expand(reads, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -18,7 +18,7 @@ def seed_pairs(reads: DataFrame, k: int, min_count: int = 2, max_count: int = 10
     k-mers above ``max_count`` (repeats) and below ``min_count`` (unique) leave before the self-join, so a
     bucket of the join has at most ``max_count`` rows: the join grows with reads, not with their square.
     """
-    e = K.expand(reads, k, oriented=True)
+    e = K.expand_packed(reads, k) if k <= K.P.MAX_K else K.expand(reads, k, oriented=True)
     use = e.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(min_count, max_count)).select("kmer")
     e = e.join(use, "kmer", "left_semi")
     a = e.select("kmer", F.col("read_id").alias("a_id"), F.col("pos").alias("apos"), F.col("forward").alias("af"))

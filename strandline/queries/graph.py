@@ -1,4 +1,4 @@
-"""Graph queries. The graph has all dovetails and those containments whose inner read's id is a multiple of 7."""
+"""Graph queries, on all overlaps that reach the ends of their reads."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ QUERIES: dict = {}
 ORACLE: dict = {}
 query = register(QUERIES, ORACLE)
 
-_USE = "(ahg5 = 0 OR bhg5 = 0) AND (ahg3 = 0 OR bhg3 = 0) AND (ah * bh > 0 OR (ah <= 0 AND bh >= 0 AND a_id % 7 = 0 AND b_id % 7 <> 0))"
+_USE = "(ahg5 = 0 OR bhg5 = 0) AND (ahg3 = 0 OR bhg3 = 0)"
 GV = sql("ovl").replace("ovl AS (SELECT a_id", "ovl0 AS (SELECT a_id") + f""", ovl AS (SELECT * FROM ovl0 WHERE {_USE}),
 u AS (SELECT a_id, b_id, flipped, ahg5, ahg3, bhg5, bhg3, evalue, span, 1 AS made FROM ovl UNION ALL SELECT *, 2 FROM ({TWIN})),
 gv AS (SELECT *, ahg5 - bhg5 AS ah, bhg3 - ahg3 AS bh FROM (SELECT a_id, b_id, flipped, ahg5, ahg3, bhg5, bhg3, ev AS evalue FROM (SELECT *, min(evalue) OVER (PARTITION BY a_id, b_id, flipped) AS ev, row_number() OVER (PARTITION BY a_id, b_id, flipped ORDER BY made, ahg5, ahg3, bhg5, bhg3, span) AS rn FROM u) WHERE rn = 1)),
@@ -27,8 +27,7 @@ be AS (SELECT a_id AS read_id, ah > 0 AS end3p, b_id, (ah > 0) = flipped AS b3p,
 
 def graph(spark, d):
     o = overlaps(spark, d)
-    inner = G.hang_a_contained() & (F.col("a_id") % 7 == 0) & (F.col("b_id") % 7 != 0)
-    return O.symmetrise(o.where(G.reaches_ends() & (G.hang_dovetail() | inner))).drop("created").withColumn("a_len", read_len()).withColumn("b_len", read_len())
+    return O.symmetrise(o.where(G.reaches_ends())).drop("created").withColumn("a_len", read_len()).withColumn("b_len", read_len())
 
 
 def best(spark, d):
@@ -65,22 +64,23 @@ def error_rate_threshold(spark, d):
     return t.select("edges", *[F.round(c, 6).alias(c) for c in ("mean", "stddev")], "median", "mad", *[F.round(c, 9).alias(c) for c in ("tight", "loose")])
 
 
-_GAP = GV + f""", giv AS (SELECT a_id AS key, greatest(ah, 0) AS lo, {READ_LEN} + least(bh, 0) AS hi, b_id IN (FROM ct) AS b_in FROM gv WHERE a_id % 2 = 0 AND evalue <= 300), {merged('500', 'giv')},
+_GAP = GV + f""", giv AS (SELECT a_id AS key, greatest(ah, 0) AS lo, {READ_LEN} + least(bh, 0) AS hi, b_id IN (FROM ct) AS b_in FROM gv WHERE evalue <= 150), {merged('500', 'giv')},
 gp AS (SELECT key, count(*) AS parts, min(lo) AS lo, max(hi) AS hi FROM mg GROUP BY key), ge AS (SELECT key, bool_or(lo = 0 AND NOT b_in) AS d5, bool_or(hi = {READ_LEN} AND NOT b_in) AS d3 FROM giv GROUP BY key)"""
 
 
-def thin(spark, d):
-    return graph(spark, d).where("a_id % 2 = 0 and evalue <= 300")
+def accurate(spark, d):
+    """Overlaps of good quality, which is what gaps are sought in."""
+    return graph(spark, d).where("evalue <= 150")
 
 
 @query(_GAP + " SELECT key AS read_id FROM gp JOIN ge USING (key) WHERE parts > 1 OR NOT d5 OR NOT d3")
 def coverage_gap_deadend(spark, d):
-    return H.coverage_gaps(thin(spark, d), H.contained(graph(spark, d)), 500, "deadend")
+    return H.coverage_gaps(accurate(spark, d), H.contained(graph(spark, d)), 500, "deadend")
 
 
 @query(_GAP + f" SELECT key AS read_id FROM gp WHERE parts > 1 OR lo <> 0 OR hi <> {READ_LEN}")
 def coverage_gap_uncovered(spark, d):
-    return H.coverage_gaps(thin(spark, d), H.contained(graph(spark, d)), 500, "uncovered")
+    return H.coverage_gaps(accurate(spark, d), H.contained(graph(spark, d)), 500, "uncovered")
 
 
 @query(GV + f""", n AS (SELECT *, greatest(CASE WHEN a_hang < 0 THEN {READ_LEN} + b_hang ELSE {READ_LEN} - a_hang END, CASE WHEN a_hang < 0 THEN {READ_LEN} + a_hang ELSE {READ_LEN} - b_hang END) AS n FROM be),
@@ -123,7 +123,7 @@ def spur_marks(spark, d):
 
 @query()
 def remove_spurs(spark, d):
-    g = graph(spark, d).where("evalue <= 200")
+    g = accurate(spark, d)
     best_, spurs = H.remove_spurs(g, H.contained(g))
     return best_.join(spurs.withColumn("spur", F.lit(True)), "read_id", "left").select("read_id", "end3p", "b_id", "b3p", F.coalesce("spur", F.lit(False)).alias("spur"))
 

@@ -28,7 +28,7 @@ def ref_counts(spark, d, k=8):
 
 @query(sql("reads") + ", " + mers("reads", 21) + " SELECT kmer, count(*) AS count FROM km GROUP BY kmer ORDER BY count DESC, kmer LIMIT 100")
 def kmer_count_topk(spark, d):
-    return K.count(reads(spark, d), 21).orderBy(F.desc("count"), "kmer").limit(100)
+    return K.count_packed(reads(spark, d), 21).orderBy(F.desc("count"), "kmer").limit(100).select(K.unpacked(F.col("kmer"), 21).alias("kmer"), "count")
 
 
 _HIST = "SELECT freq, n_distinct, round(sum(n_distinct) OVER w / sum(n_distinct) OVER (), 9) AS frac_distinct, round(sum(freq * n_distinct) OVER w / sum(freq * n_distinct) OVER (), 9) AS frac_total FROM (SELECT count AS freq, count(*) AS n_distinct FROM kc GROUP BY 1) WINDOW w AS (ORDER BY freq)"
@@ -36,7 +36,7 @@ _HIST = "SELECT freq, n_distinct, round(sum(n_distinct) OVER w / sum(n_distinct)
 
 @query(sql("reads") + ", " + mers("reads", 16) + ", kc AS (SELECT kmer, count(*) AS count FROM km GROUP BY kmer) " + _HIST)
 def kmer_histogram(spark, d):
-    return K.histogram(K.count(reads(spark, d), 16)).select("freq", "n_distinct", F.round("frac_distinct", 9).alias("frac_distinct"), F.round("frac_total", 9).alias("frac_total"))
+    return K.histogram(K.count_packed(reads(spark, d), 16)).select("freq", "n_distinct", F.round("frac_distinct", 9).alias("frac_distinct"), F.round("frac_total", 9).alias("frac_total"))
 
 
 @query(REF + " SELECT kmer, count * 2 AS count FROM kc")

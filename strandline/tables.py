@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Length of every read of the overlap table, and number of its reads.
-READ_LEN, READS = 10_000, 500
+#: Length of every read of the overlap table, its least number of reads, and rows of the line items for each further one.
+READ_LEN, MIN_READS, ROWS_PER_READ = 10_000, 500, 120
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtacgtacgtac"
 
 
@@ -43,14 +43,19 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(a_id, b_id, flipped, ahg5, ahg3, bhg5, bhg3, evalue, span): one for each pair and orientation."""
+    """(a_id, b_id, flipped, ahg5, ahg3, bhg5, bhg3, evalue, span): one for each pair and orientation.
+
+    Reads grow with the line items; most overlaps are dovetails, few are containments, some are partial.
+    """
     l = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
-    kind, x = F.col("l_linenumber") % 5, 1 + (F.col("l_orderkey") * 7 + F.col("l_partkey") * 13) % 6000
+    n = max(MIN_READS, l.count() // ROWS_PER_READ)  # of the files' footers
+    m = (F.col("l_orderkey") * 31 + F.col("l_partkey") * 17 + F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 1000
+    kind, x = F.when(m < 420, 0).when(m < 840, 1).when(m < 842, 2).when(m < 844, 3).otherwise(4), 1 + (F.col("l_orderkey") * 7 + F.col("l_partkey") * 13) % 6000
     y = 1 + (F.col("l_partkey") * 5 + F.col("l_suppkey") * 11) % 2500
     zero = F.lit(0).cast("bigint")
     o = l.select(
-        (F.col("l_orderkey") % READS + 1).alias("a_id"),
-        (F.col("l_partkey") % READS + 1).alias("b_id"),
+        (F.col("l_orderkey") % n + 1).alias("a_id"),
+        (F.col("l_partkey") % n + 1).alias("b_id"),
         (F.col("l_suppkey") % 2 == 1).alias("flipped"),
         F.when(kind == 0, x).when(kind.isin(3, 4), y).otherwise(zero).alias("ahg5"),
         F.when(kind == 1, x).when(kind == 3, y * 3 % 2000).otherwise(zero).alias("ahg3"),
@@ -81,8 +86,9 @@ _SEQ = f"upper(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTE
 CTE = {
     "reads": f"reads AS (SELECT *, length(seq)::BIGINT AS len FROM (SELECT doc_id AS read_id, source AS library, lang, {_SEQ} AS seq FROM documents))",
     "refs": f"refs AS (SELECT *, length(seq)::BIGINT AS len FROM (SELECT item_id AS read_id, {_SEQ} AS seq FROM benchmark))",
-    "ovl": f"""l0 AS (SELECT l_orderkey % {READS} + 1 AS a_id, l_partkey % {READS} + 1 AS b_id, l_suppkey % 2 = 1 AS flipped, l_linenumber % 5 AS kind,
-        1 + (l_orderkey * 7 + l_partkey * 13) % 6000 AS x, 1 + (l_partkey * 5 + l_suppkey * 11) % 2500 AS y, l_quantity::BIGINT * 60 + l_linenumber * 7 AS evalue FROM lineitem),
+    "ovl": f"""nr AS (SELECT greatest({MIN_READS}, count(*) // {ROWS_PER_READ}) AS n FROM lineitem), lm AS (SELECT *, (l_orderkey * 31 + l_partkey * 17 + l_suppkey * 7 + l_linenumber) % 1000 AS m FROM lineitem),
+      l0 AS (SELECT l_orderkey % n + 1 AS a_id, l_partkey % n + 1 AS b_id, l_suppkey % 2 = 1 AS flipped, CASE WHEN m < 420 THEN 0 WHEN m < 840 THEN 1 WHEN m < 842 THEN 2 WHEN m < 844 THEN 3 ELSE 4 END AS kind,
+        1 + (l_orderkey * 7 + l_partkey * 13) % 6000 AS x, 1 + (l_partkey * 5 + l_suppkey * 11) % 2500 AS y, l_quantity::BIGINT * 60 + l_linenumber * 7 AS evalue FROM lm, nr),
       l1 AS (SELECT a_id, b_id, flipped, CASE WHEN kind = 0 THEN x WHEN kind IN (3, 4) THEN y ELSE 0 END AS ahg5, CASE WHEN kind = 1 THEN x WHEN kind = 3 THEN y * 3 % 2000 ELSE 0 END AS ahg3,
         CASE WHEN kind = 1 THEN x WHEN kind = 2 THEN y WHEN kind = 4 THEN x % 500 + 1 ELSE 0 END AS bhg5, CASE WHEN kind = 0 THEN x WHEN kind = 2 THEN y * 3 % 2000 ELSE 0 END AS bhg3, evalue FROM l0 WHERE a_id <> b_id),
       ovl AS (SELECT a_id, b_id, flipped, ahg5, ahg3, bhg5, bhg3, evalue, {READ_LEN} - greatest(ahg5 + ahg3, bhg5 + bhg3) AS span, ahg5 - bhg5 AS ah, bhg3 - ahg3 AS bh, {READ_LEN} - ahg5 - ahg3 AS al, {READ_LEN} - bhg5 - bhg3 AS bl
