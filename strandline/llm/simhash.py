@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, lookup, map_arrow, spread, spread_by, staged
-from .components import connected_components
+from .components import SMALL_EDGES, _roots, connected_components
 
 #: Points of one cell that a task compares; larger cells are dealt out as pairs of blocks.
 CELL_ROWS = 4096
@@ -250,6 +250,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", similarity: fl
 #: Words of a wide fingerprint, recall of the grids and standard deviations of the bit limit at the threshold (0.997
 #: of such pairs, so that 0.99 and more are verified), chance points of a cell, largest cell compared by lag.
 PARTS, RECALL, SIGMAS, CELL_POINTS, LAGS = 4, 0.994, 2.75, 60, 256
+#: One node in so many is counted to find cells too large for a task: a cell of CELL_ROWS has 64 of them on average, and is
+#: split from 16 on. What is split and what is not makes no difference to the result.
+SAMPLED = 64
 #: Shingle sets of one group that a task compares; larger groups are dealt out as pairs of blocks.
 GROUP_ROWS = 1024
 _PART_SEEDS = [xxhash.xxh64_intdigest(b"part", k) | 1 for k in range(PARTS)]
@@ -306,7 +309,7 @@ def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _wide_edges(limit: int):
-    def flush(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def cell_edges(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> np.ndarray:
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         size = np.diff(cut)
         of = np.repeat(size, size)
@@ -321,37 +324,51 @@ def _wide_edges(limit: int):
             a.append(node[i])
             b.append(node[i + d])
         for k in np.flatnonzero(size > LAGS):  # spanning edges of large ones
-            x, y, left, todo = fp[cut[k] : cut[k + 1]], node[cut[k] : cut[k + 1]], np.arange(1, size[k]), [0]
+            x, u, y, left, todo = fp[cut[k] : cut[k + 1]], uv[cut[k] : cut[k + 1]], node[cut[k] : cut[k + 1]], np.arange(1, size[k]), [0]
             while len(left):
                 if not todo:
                     todo, left = [int(left[0])], left[1:]
                     continue
                 i = todo.pop()
-                near = _far(x[left], x[i]) <= limit
+                near = _far(u[left], u[i]) <= limit
+                near[near] = _far(x[left[near]], x[i]) <= limit
                 a.append(np.full(int(near.sum()), y[i]))
                 b.append(y[left[near]])
                 todo += left[near].tolist()
                 left = left[~near]
-        e = np.stack([np.concatenate(a), np.concatenate(b)], 1)
-        e = np.unique(np.sort(e, axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
+        return np.stack([np.concatenate(a), np.concatenate(b)], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by cell; a partition's edges are contracted to stars, of which there are no more than its nodes."""
         key, node, fp = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, PARTS), np.uint64)
-        for x in batches:
-            key = np.concatenate([key, x.column(0).to_numpy()])
-            node = np.concatenate([node, x.column(1).to_numpy()])
-            fp = np.concatenate([fp, np.stack([x.column(2 + k).to_numpy().view(np.uint64) for k in range(PARTS)], 1)])
-            end = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        held, size = [np.empty((0, 2), np.int64)], 0
+        for x in _and_none(batches):
+            if x is not None:
+                key = np.concatenate([key, x.column(0).to_numpy()])
+                node = np.concatenate([node, x.column(1).to_numpy()])
+                fp = np.concatenate([fp, np.stack([x.column(2 + k).to_numpy().view(np.uint64) for k in range(PARTS)], 1)])
+            end = len(key) if x is None else int(np.searchsorted(key, key[-1])) if len(key) else 0
             if end:
-                yield flush(key[:end], node[:end], fp[:end])
+                held.append(cell_edges(key[:end], node[:end], fp[:end]))
+                size += len(held[-1])
                 key, node, fp = key[end:], node[end:], fp[end:]
-        if len(key):
-            yield flush(key, node, fp)
+            if size > SMALL_EDGES or x is None and size:
+                e = np.concatenate(held)
+                nodes, root = _roots(e[:, 0], e[:, 1])
+                held, size = [np.stack([nodes, root], 1)], len(nodes)
+                if x is None or size > SMALL_EDGES:
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root)], names=["a", "b"])
+                    held, size = [], 0
 
     return run
 
 
+def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches, and None behind the last."""
+    yield from batches
+    yield None
+
+
 def _verified(similarity: float, limit: int):
     def flush(t: pa.Table) -> pa.RecordBatch:
         """Spanning edges of each key's sets that have the similarity; bit distance and sizes rule out most others."""
@@ -455,6 +472,16 @@ def _similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, id
 
     cells = reps.select("node", *names, *[unary(c).alias(f"u{k}") for k, c in enumerate(names)], F.posexplode(grids_).alias("grid", "mask"))
     cells = cells.select(F.xxhash64("grid", *[F.col(f"u{k}").bitwiseAND(F.col("mask")[k]) for k in range(PARTS)]).alias("cell"), "node", *names)
+    # cells too large for a task, by the share of nodes that tells them apart for sure, take part in pairs of blocks
+    some = cells.where(F.pmod(F.xxhash64("node", F.lit(11)), F.lit(SAMPLED)) == 0)
+    hot = some.groupBy("cell").agg((F.count(F.lit(1)) * SAMPLED).alias("size")).where(F.col("size") > CELL_ROWS // 4)
+    hot = staged(hot.select(F.col("cell").alias("_large"), F.ceil(F.col("size") / (CELL_ROWS // 2)).alias("blocks")), "hot_cells")
+    if not hot.isEmpty():
+        own = F.coalesce(F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")), F.lit(0))
+        split = cells.join(hot, F.col("cell") == F.col("_large"), "left").withColumn("own", own)
+        split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("blocks") - 1, F.lit(0)))))
+        pair = F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
+        cells = split.select(F.when(F.col("blocks") > 1, pair).otherwise(F.col("cell")).alias("cell"), "node", *names)
     ready = spread_by(cells, "cell").sortWithinPartitions("cell")
     limit = distance_limit(similarity)
     loose = connected_components(staged(map_arrow(ready, _wide_edges(limit), "a bigint, b bigint").distinct(), "edges"))
