@@ -28,9 +28,14 @@ from .decontaminate import TABLE, WORD
 
 #: Words of a shingle, of a paragraph, and shingles of which one starts a paragraph (49 words in a row are found for sure).
 SHINGLE, WORDS, SPAN = 5, 24, 26
-#: Bands and MinHash values of a band: a pair of paragraphs at Jaccard 0.8 meets with probability 1 - (1 - 0.8 ** 3) ** 5 = 0.97.
-BANDS, VALUES, SIMILAR = 5, 3, 0.8
+#: Bands and MinHash values of a band: a pair of paragraphs at Jaccard 0.8 meets with probability 1 - (1 - 0.8 ** 2) ** 3 = 0.95,
+#: one at the least similarity that two paragraphs can have from there on, 18 of 22 shingles, with 0.96.
+BANDS, VALUES, SIMILAR = 3, 2, 0.8
+#: Paragraphs of a band key that a task compares at once, and bytes of text that are cut at once.
 BUCKET_ROWS, BLOCK = 1024, 1 << 18
+#: One distinct paragraph in so many tells which band keys are hot: those with HOT_ROWS or more of them by its count are
+#: dealt out over several tasks. What is dealt out and what is not makes no difference to the result.
+SAMPLED, HOT_ROWS = 64, 4096
 SET = WORDS - SHINGLE + 1
 U = np.uint64
 _POWERS = np.array([xxhash.xxh64_intdigest(b"power", k) | 1 for k in range(WORDS)], U)
@@ -154,21 +159,73 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _paragraphs(keys: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = as_bytes(b.column(1))
-            for c in cut(texts):
-                doc, h = b.column(0).take(pa.array(c.text)), _signed(paragraph_hashes(c.words, c.at))
-                if keys:
-                    k = band_keys(c.shingles, c.at)
-                    yield pa.RecordBatch.from_arrays([doc, h, *[_signed(np.ascontiguousarray(k[:, j])) for j in range(BANDS)]], names=["doc_id", "h", *[f"k{j}" for j in range(BANDS)]])
-                else:
-                    some, back = np.unique(c.text, return_inverse=True)
-                    key = np.array([xxhash.xxh64_intdigest(texts[i], 42) for i in some], U)[back]  # as Spark's xxhash64
-                    yield pa.RecordBatch.from_arrays([doc, _signed(key), pa.array(c.pos.astype(np.int32)), h], names=["doc_id", "text_key", "pos", "h"])
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, h, k0, k1, ...) of each paragraph; band keys only of the paragraphs that SAMPLED picks."""
+    for b in batches:
+        for c in cut(as_bytes(b.column(1))):
+            h = paragraph_hashes(c.words, c.at)
+            picked = mix(h) % U(SAMPLED) == 0
+            k = np.zeros((len(h), BANDS), U)
+            if picked.any():
+                k[picked] = band_keys(c.shingles, c.at[picked])
+            keys = [pa.array(np.ascontiguousarray(k[:, j]).view(np.int64), mask=~picked) for j in range(BANDS)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(c.text)), _signed(h), *keys], names=["doc_id", "h", *[f"k{j}" for j in range(BANDS)]])
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, h, doc_id): each band key of each distinct paragraph of a batch, with the least document that has it."""
+    for b in batches:
+        doc = b.column(0).to_numpy()
+        parts = [(band_keys(c.shingles, c.at).T.ravel(), np.tile(paragraph_hashes(c.words, c.at), BANDS), np.tile(doc[c.text], BANDS)) for c in cut(as_bytes(b.column(1)))]
+        if parts:
+            key, h, of = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((of, h, key))
+            key, h, of = key[order], h[order], of[order]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])])
+            yield pa.RecordBatch.from_arrays([_signed(key[new]), _signed(h[new]), pa.array(of[new])], names=["key", "h", "doc_id"])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, h, doc_id, size) sorted by key, h and doc_id: one (key, n, h, doc_id) for each paragraph of a key that has others.
+
+    ``size`` is null but for hot keys, which are dealt out: those have others for sure, and ``size`` takes the place of their number.
+    Paragraphs that all have the same first document do not meet: overlapping ones of one text would, and a link between
+    them can add no document to their class that comes before that one.
+    """
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64())])
+    held = np.empty((0, 4), np.int64)
+
+    def told(x: np.ndarray) -> pa.RecordBatch:
+        edge = np.flatnonzero(np.concatenate([[True], x[1:, 0] != x[:-1, 0], [True]]))
+        size = np.diff(edge)
+        n = np.where(x[:, 3] > 0, x[:, 3], np.repeat(size, size))
+        apart = np.minimum.reduceat(x[:, 2], edge[:-1]) < np.maximum.reduceat(x[:, 2], edge[:-1])
+        some = (n > 1) & (np.repeat(apart, size) | (x[:, 3] > 0))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (x[some, 0], n[some], x[some, 1], x[some, 2])], schema=schema)
+
+    for b in batches:
+        if not len(b):
+            continue
+        size = pc.fill_null(b.column(3), 0).to_numpy(zero_copy_only=False)
+        held = np.concatenate([held, np.stack([*(b.column(k).to_numpy() for k in range(3)), size], 1)])
+        new = np.concatenate([[True], (held[1:, :2] != held[:-1, :2]).any(1)])
+        held = held[new]  # the first of a paragraph's rows has the least document
+        end = int(np.searchsorted(held[:, 0], held[-1, 0]))
+        if end:
+            yield told(held[:end])
+            held = held[end:]
+    if len(held):
+        yield told(held)
+
 
-    return run
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_key, pos, h) of each paragraph."""
+    for b in batches:
+        texts = as_bytes(b.column(1))
+        for c in cut(texts):
+            some, back = np.unique(c.text, return_inverse=True)
+            key = np.array([xxhash.xxh64_intdigest(texts[i], 42) for i in some], U)[back]  # as Spark's xxhash64
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(c.text)), _signed(key), pa.array(c.pos.astype(np.int32)), _signed(paragraph_hashes(c.words, c.at))], names=["doc_id", "text_key", "pos", "h"])
 
 
 def paragraph_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -259,13 +316,28 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(pa.Table.from_batches(held))
 
 
-def near_edges(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def meetings(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, n, h, doc_id): distinct paragraphs that share a band key with others, the key's number of them, and a document of each.
+
+    Repeats of a paragraph leave before the shuffle, as far as a batch has them; keys that the sampled classes
+    show to be hot go to as many tasks as they have HOT_ROWS.
+    """
+    keys = F.explode(F.array(*[f"k{j}" for j in range(BANDS)])).alias("hot")
+    hot = classes.where("k0 is not null").select(keys).groupBy("hot").agg((F.count(F.lit(1)) * SAMPLED).alias("size"))
+    hot = staged(hot.where(F.col("size") >= HOT_ROWS), "hot_keys")
+    entries = map_arrow(rows, _entries, "key bigint, h bigint, doc_id bigint")
+    if hot.isEmpty():
+        dealt = spread_by(entries.withColumn("size", F.lit(None).cast("bigint")), "key")
+    else:
+        found = entries.join(hot, F.col("key") == F.col("hot"), "left").drop("hot")
+        salt = F.coalesce(F.pmod("h", F.ceil(F.col("size") / HOT_ROWS)), F.lit(0))
+        dealt = spread_by(found.withColumn("salt", salt), "key", "salt").select("key", "h", "doc_id", "size")
+    return staged(map_arrow(dealt.sortWithinPartitions("key", "h", "doc_id"), _met, "key bigint, n bigint, h bigint, doc_id bigint"), "met")
+
+
+def near_edges(rows: DataFrame, met: DataFrame) -> DataFrame:
     """(a, b): paragraphs of Jaccard SIMILAR or more that meet in a band; they span the components of all such pairs."""
-    bands = classes.select("h", "first", F.explode(F.array(*[f"k{j}" for j in range(BANDS)])).alias("key"))
-    met = bands.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("n > 1")
-    met = staged(met, "met")
-    wanted = met.select(F.col("first").alias("doc_id"), "h").distinct()
-    sets = staged(paragraph_sets(docs, wanted), "sets")
+    sets = staged(paragraph_sets(rows, met.select("doc_id", "h").distinct()), "sets")
     rows = met.join(sets, "h").select("key", "n", "h", "m", "shingles")
     # buckets too large for a task: their paragraphs take part in pairs of blocks
     blocks = F.when(F.col("n") > BUCKET_ROWS, F.ceil(F.col("n") / (BUCKET_ROWS // 2))).otherwise(F.lit(1))
@@ -288,16 +360,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     rows = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull()))
     names = [f"k{j}" for j in range(BANDS)]
-    cut = map_arrow(rows, _paragraphs(True), "doc_id bigint, h bigint, " + ", ".join(f"{k} bigint" for k in names))
+    cut = map_arrow(rows, _classes, "doc_id bigint, h bigint, " + ", ".join(f"{k} bigint" for k in names))
     classes = cut.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).cast("int").alias("n"), *[F.min(k).alias(k) for k in names])
-    classes = staged(classes, "classes")
-    labels = bounded_components(near_edges(rows, classes))
-    linked = classes.join(labels, classes["h"] == labels["node"]).select("h", "first", "last", "n", "component")
+    classes = staged(classes.where("n > 1 or k0 is not null"), "classes")
+    many = classes.where("n > 1").select("h", "first", "last", "n")
+    met = meetings(rows, classes)
+    labels = bounded_components(near_edges(rows, met))
+    # of a paragraph that occurs once, the document that the meetings name is the only one
+    own = met.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    linked = labels.join(own, labels["node"] == own["h"]).select("h", "doc_id", "component").join(many, "h", "left")
+    linked = staged(linked.select("h", "component", F.coalesce("first", "doc_id").alias("first"), F.coalesce("last", "doc_id").alias("last"), F.coalesce("n", F.lit(1)).alias("n")), "linked")
     joint = linked.groupBy("component").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     near = linked.select("h", "n", "component").join(joint, "component").select("h", "n", "first", "last")
-    alone = classes.where("first < last").join(labels, classes["h"] == labels["node"], "left_anti").select("h", "n", "first", "last")
+    alone = many.where("first < last").join(labels, many["h"] == labels["node"], "left_anti")
     table = staged(near.unionByName(alone).where("first < last").select("h", "n", "first"), "repeated")
-    places = map_arrow(rows, _paragraphs(False), "doc_id bigint, text_key bigint, pos int, h bigint")
+    places = map_arrow(rows, _places, "doc_id bigint, text_key bigint, pos int, h bigint")
     found = lookup(places, table, "h", "n").where("first is not null").withColumn("kept", F.col("first") == F.col("doc_id"))
     by = W.partitionBy("doc_id", "text_key", "kept").orderBy("pos")
     gap = F.col("pos") > F.lag("pos").over(by) + WORDS

@@ -64,7 +64,7 @@ def test_exact_classes(spark):
 
 
 def test_near_paragraphs_and_blocks(spark, monkeypatch):
-    """A paragraph with its last word changed links by Jaccard; one with half its words changed does not."""
+    """A paragraph with its last word changed links by Jaccard; one with half its words changed does not. Blocks and dealt out keys make no difference."""
     r = random.Random(8)
     base = [word(r) for _ in range(p.WORDS)]
     near = base[:-1] + ["zz"]
@@ -75,6 +75,9 @@ def test_near_paragraphs_and_blocks(spark, monkeypatch):
     rows = [(i, " ".join(base[:-1] + [f"v{i}"]), None, 0) for i in range(40)] + [(100, " ".join(far), None, 0)]
     for size in (1024, 8):
         monkeypatch.setattr(p, "BUCKET_ROWS", size)
+        if size == 8:  # all classes are sampled, and keys of three paragraphs are hot
+            monkeypatch.setattr(p, "SAMPLED", 1)
+            monkeypatch.setattr(p, "HOT_ROWS", 3)
         got = p.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
         ids = {x.doc_id for x in got}
         assert 100 not in ids and len(ids) >= 38 and len({x.component_id for x in got}) == 1
@@ -118,3 +121,22 @@ def test_band_recall():
         a, b = (p.band_keys(s, np.array([0])) for s in (x[: p.SET], x[2:]))
         met += bool((a == b).any())
     assert met >= 0.95 * n
+
+
+def test_near_pairs_against_all_pairs(spark):
+    """Two documents of one paragraph each, many times over: pairs from 0.8 on link with 0.95 and more, those below never."""
+    r = random.Random(21)
+    rows, near = [], {}
+    for i in range(400):
+        base = [word(r) + str(i) for _ in range(p.WORDS)]
+        other = list(base)
+        for k in r.choice([[0], [p.WORDS - 1], [1], [0, p.WORDS - 1], [12], [0, 1]]):
+            other[k] = "changed"
+        sets = [{tuple(w[j : j + 5]) for j in range(p.WORDS - 4)} for w in (base, other)]
+        near[i] = len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.8
+        rows += [(2 * i, " ".join(base), "k", 1), (2 * i + 1, " ".join(other), "k", 1)]
+    got = {x.doc_id: x.component_id for x in p.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    linked = {i for i in near if 2 * i in got and got[2 * i] == got.get(2 * i + 1)}
+    assert set(got) == {x for i in linked for x in (2 * i, 2 * i + 1)}
+    assert not linked & {i for i, x in near.items() if not x}
+    assert len(linked) >= 0.95 * sum(near.values()) > 100
