@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -14,6 +15,8 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", "")
     if not root:  # a bare local session
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/strandline-{uuid.uuid4().hex}"
@@ -21,6 +24,17 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, *order) -> DataFrame:
+    """``df`` with ``rank`` from 0 in an order without ties: range partitions are sorted by themselves and offset by the rows
+    of those before, so no task sees more than one of them."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    own = staged(own.withColumn("_part", F.shiftright("_at", 33)).withColumn("_i", F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at"))
+    rows = own.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    return own.join(rows.select("_part", before.alias("_before")), "_part").withColumn("rank", F.col("_before") + F.col("_i")).drop("_part", "_i", "_before")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) of an edge list (a, b) of longs: labels fall to the least in reach, then to their label's label.
 

@@ -106,6 +106,10 @@ def binomial_bound(length: int, erate: float, tail: float = 1e-4) -> int:
     """Least e so that more than e errors in ``length`` bases at ``erate`` are rarer than ``tail``."""
     if length <= 0:
         return 0
+    if length * erate > 400:  # (1 - erate) ** length underflows: the normal distribution has the same tail there
+        from statistics import NormalDist
+
+        return min(length, math.ceil(length * erate - NormalDist().inv_cdf(tail) * math.sqrt(length * erate * (1 - erate))))
     p, total = (1 - erate) ** length, 0.0
     for e in range(length + 1):
         total += p

@@ -28,9 +28,9 @@ from .decontaminate import TABLE, WORD
 
 #: Words of a shingle, of a paragraph, and shingles of which one starts a paragraph (49 words in a row are found for sure).
 SHINGLE, WORDS, SPAN = 5, 24, 26
-#: Bands and MinHash values of a band: a pair of paragraphs at Jaccard 0.8 meets with probability 1 - (1 - 0.8 ** 2) ** 3 = 0.95,
-#: one at the least similarity that two paragraphs can have from there on, 18 of 22 shingles, with 0.96.
-BANDS, VALUES, SIMILAR = 3, 2, 0.8
+#: Bands and MinHash values of a band: a pair of paragraphs at Jaccard 0.8 meets with probability 1 - (1 - 0.8 ** 2) ** 5 = 0.99,
+#: one at the least similarity that two paragraphs can have from there on, 18 of 22 shingles, more surely.
+BANDS, VALUES, SIMILAR = 5, 2, 0.8
 #: Paragraphs of a band key that a task compares at once, and bytes of text that are cut at once.
 BUCKET_ROWS, BLOCK = 1024, 1 << 18
 #: One distinct paragraph in so many tells which band keys are hot: those with HOT_ROWS or more of them by its count are

@@ -67,6 +67,29 @@ def check_del_subst(base: Column, expected: int = 1, confirm: int = 5) -> Column
     return F.when(ok, winner)
 
 
+def check_insert(inserts: DataFrame, votes: DataFrame, expected: int = 1, confirm: int = 5, strong: int = 2) -> DataFrame:
+    """(read_id, pos, ins): insertions to make, of counts (read_id, pos, ins, n) and of votes against any (read_id, pos, no_insert, conf_no_insert).
+
+    Not if the position is confirmed as it is, if there is one vote alone, if the most frequent insertion has no majority, if ``expected``
+    alleles or more have ``confirm`` votes (none counts as one), or if it is weak against a confirmation. Of equals the least is taken.
+    """
+    top = F.min(F.struct((-F.col("n")).alias("neg"), "ins")).alias("top")
+    per = inserts.groupBy("read_id", "pos").agg(F.sum("n").alias("total"), F.count_if(F.col("n") >= confirm).alias("alleles"), top)
+    j = per.join(votes.select("read_id", "pos", "no_insert", "conf_no_insert"), ["read_id", "pos"], "left").na.fill(0, ["no_insert", "conf_no_insert"])
+    most = -F.col("top.neg")
+    alleles = F.col("alleles") + (F.col("no_insert") >= confirm).cast("int")
+    ok = (F.col("conf_no_insert") < strong) & (F.col("total") > 1) & (2 * most > F.col("total") + F.col("no_insert")) & (alleles < expected)
+    return j.where(ok & ~((F.col("conf_no_insert") == 1) & (most <= 6))).select("read_id", "pos", "top.ins")
+
+
+def frozen_deletes(votes: DataFrame, confirm: int = 5, freeze: int = 1) -> DataFrame:
+    """(read_id, pos): positions within ``freeze`` of one where ``confirm`` votes say it is deleted and as many that it is not; no deletion is made there."""
+    five = [F.col(v) for v in (*VOTES[1:5], "confirmed")]
+    het = votes.where((F.col("deletes") >= confirm) & (sum(five[1:], five[0]) >= confirm))
+    near = F.explode(F.sequence(F.col("pos") - freeze, F.col("pos") + freeze)).alias("pos")
+    return het.select("read_id", near).distinct().join(votes.select("read_id", "pos"), ["read_id", "pos"], "left_semi")
+
+
 def corrected_evalues(overlaps: DataFrame) -> DataFrame:
     """(a_id, b_id, flipped, evalue) of overlapping parts (aseq, bseq) aligned anew: differences over alignment length."""
     d = distance("aseq", "bseq")

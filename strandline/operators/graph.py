@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..components import connected, staged
+from ..components import connected, ranked, staged
 from ..functions import geometry as G
 from ..functions.seq import decode_evalue
 from . import intervals as I
@@ -44,6 +44,74 @@ def best_edges(overlaps: DataFrame, excluded: DataFrame) -> DataFrame:
     return o.groupBy(F.col("a_id").alias("read_id"), end3.alias("end3p")).agg(best.alias("e")).select("read_id", "end3p", (-F.col("e.neg")).alias("b_id"), "e.b3p", "e.a_hang", "e.b_hang", "e.evalue", "e.score")
 
 
+def initial_edges(overlaps: DataFrame, erate_graph: float, erate_max: float, min_share: float = 0.8) -> tuple[DataFrame, DataFrame, float]:
+    """(contained, best edges, error limit): at ``erate_graph`` if ``min_share`` of the reads that are not contained get an edge, else at ``erate_max``.
+
+    Reads are those that have overlaps at all; three counts go to the driver.
+    """
+    reads = overlaps.select(F.col("a_id").alias("read_id")).distinct()
+    for limit in (erate_graph, erate_max):
+        good = overlaps.where(good_quality(limit))
+        inside = staged(contained(good))
+        best = staged(best_edges(good, inside))
+        possible, found = reads.join(inside, "read_id", "left_anti").count(), best.select("read_id").distinct().count()
+        if found >= min_share * possible:
+            break
+    return inside, best, limit
+
+
+def best_overlap_graph(overlaps: DataFrame, lengths: DataFrame, erate_graph: float, erate_max: float, deviations: float = 6.0, min_overlap: int = 500, gaps: str = "chimer", lopsided_percent: float = 25.0) -> tuple[DataFrame, DataFrame, float]:
+    """(contained, best edges, error limit) after all filters, in order: initial edges, error threshold, coverage gaps, lopsided reads, spurs.
+
+    The threshold is that of the best edges' errors, never above the limit they were found at; reads with gaps in their good
+    overlaps and lopsided reads take no part in edges, and edges are routed around spurs, whose own edges to others go.
+    """
+    inside, best, limit = initial_edges(overlaps, erate_graph, erate_max)
+    row = error_threshold(best, limit, deviations).first()
+    if row is not None and row["tight"] is not None:
+        limit = min(limit, max(row["tight"], 1e-5))
+    good = staged(overlaps.where(good_quality(limit)))
+    inside = staged(contained(good))
+    bad = staged(coverage_gaps(good, inside, min_overlap, gaps).select("read_id"))
+    off = staged(inside.unionByName(bad).distinct())
+    uneven = lopsided(staged(best_edges(good, off)), lengths, lopsided_percent).select("read_id").distinct()
+    off = staged(off.unionByName(uneven).distinct())
+    best, spurs = remove_spurs(good, off)
+    return inside, repair_spurs(best, spurs), limit
+
+
+def repair_spurs(best: DataFrame, spurs: DataFrame) -> DataFrame:
+    """Best edges without those that lead from a spur to a read that is none: they would join the spur to a tig."""
+    marked = spurs.select("read_id").distinct().withColumn("_spur", F.lit(True))
+    j = best.join(marked, "read_id", "left").withColumnRenamed("_spur", "_from")
+    j = j.join(marked.select(F.col("read_id").alias("b_id"), F.col("_spur").alias("_to")), "b_id", "left")
+    return j.where(F.col("_from").isNull() | F.col("_to").isNotNull()).select(*best.columns)
+
+
+def chunk_order(lengths: DataFrame) -> DataFrame:
+    """(read_id, path_len, rank): the order in which reads start tigs, longest path first, then smaller ids."""
+    return ranked(lengths, F.desc("path_len"), F.col("read_id").asc())
+
+
+def spur_report(placed: DataFrame, best: DataFrame, near: int = 5, min_reads: int = 15) -> DataFrame:
+    """(tig_id, end3p, into_tig, into_read): tigs whose best edge out of an end enters another within ``near`` reads of an end that leads nowhere.
+
+    The entered tig has more than ``min_reads`` reads, and is entered from outside towards its near end.
+    """
+    w = W.partitionBy("tig_id")
+    at = placed.select("tig_id", "read_id", "reverse", F.row_number().over(w.orderBy("lo", "hi", "read_id")).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
+    edges = best.select("read_id", "end3p", "b_id", "b3p")
+    ends = at.where("i = 1 or i = n").select("tig_id", "read_id", "n", F.explode(F.when(F.col("n") == 1, F.array(F.lit(False), F.lit(True))).when(F.col("i") == 1, F.array(F.lit(False))).otherwise(F.array(F.lit(True)))).alias("tig3p"), "reverse")
+    out = ends.select("tig_id", "tig3p", "read_id", (F.col("tig3p") != F.col("reverse")).alias("end3p")).join(edges, ["read_id", "end3p"], "left")
+    into = at.select(F.col("read_id").alias("b_id"), F.col("tig_id").alias("into_tig"), "i", "n", F.col("reverse").alias("rev"))
+    hit = out.where("b_id is not null").select("tig_id", "tig3p", "b_id", "b3p").join(into, "b_id")
+    # the end that is near, and that the entered read's side looks at
+    first, last = (F.col("n") > min_reads) & (F.col("i") <= near), (F.col("n") > min_reads) & (F.col("i") + near > F.col("n"))
+    hit = hit.where((F.col("b3p") != F.col("rev")) & (first | last)).withColumn("near3p", ~first)
+    open_ = out.select(F.col("tig_id").alias("into_tig"), F.col("tig3p").alias("near3p"), F.col("b_id").alias("leads"))
+    return hit.join(open_, ["into_tig", "near3p"]).where("leads is null").select("tig_id", F.col("tig3p").alias("end3p"), "into_tig", F.col("b_id").alias("into_read"))
+
+
 def mutual(best: DataFrame) -> DataFrame:
     """Best edges that point back at each other, each once (read_id < b_id or, on itself, 5' first)."""
     back = best.select(F.col("read_id").alias("b_id"), F.col("end3p").alias("b3p"), F.col("b_id").alias("read_id"), F.col("b3p").alias("end3p"))
@@ -198,7 +266,7 @@ def remove_spurs(overlaps: DataFrame, excluded: DataFrame, depth: int = 3) -> tu
 
 
 def circular_candidates(placed: DataFrame, overlaps: DataFrame) -> DataFrame:
-    """(tig_id, n_missing): tigs whose last read overlaps their first; pairs around the end that have no overlap."""
+    """(tig_id, first, last, circular): whether a tig's last read by end overlaps its first by begin."""
     w = W.partitionBy("tig_id")
     ends = placed.withColumn("f", F.row_number().over(w.orderBy("lo", "hi", "read_id"))).withColumn("l", F.row_number().over(w.orderBy(F.desc("hi"), F.desc("lo"), F.desc("read_id"))))
     pair = ends.groupBy("tig_id").agg(F.max(F.when(F.col("f") == 1, F.col("read_id"))).alias("first"), F.max(F.when(F.col("l") == 1, F.col("read_id"))).alias("last"), F.count(F.lit(1)).alias("n"))

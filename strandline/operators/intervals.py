@@ -47,11 +47,17 @@ def intersect(a: DataFrame, b: DataFrame, key: str = "key", bin_size: int = 1024
     return j.where((lo < hi) & (F.col("_bin") == F.floor(lo / bin_size))).select(key, lo.alias("lo"), hi.alias("hi"))
 
 
-def spanning(marks: DataFrame, reads: DataFrame, anchor: int, key: str = "key") -> DataFrame:
-    """(key, lo, hi, n_span): marks and how many reads cover them with ``anchor`` bases to spare on both sides."""
-    r = reads.select(key, F.col("lo").alias("rlo"), F.col("hi").alias("rhi"))
-    j = marks.join(r, (marks[key] == r[key]) & (r["rlo"] + anchor <= marks["lo"]) & (marks["hi"] + anchor <= r["rhi"]), "left")
-    return j.groupBy(marks[key], "lo", "hi").agg(F.count("rlo").alias("n_span"))
+def spanning(marks: DataFrame, reads: DataFrame, anchor: int, key: str = "key", bin_size: int = 4096) -> DataFrame:
+    """(key, lo, hi, n_span): marks and how many reads cover them with ``anchor`` bases to spare on both sides.
+
+    A mark lies in the bin of its begin, a read in all that it covers, so no task has a whole key's marks and reads.
+    """
+    at = F.floor(F.col("lo") / bin_size)
+    covered = F.sequence(F.floor(F.col("lo") / bin_size), F.floor(F.col("hi") / bin_size))
+    r = reads.where("lo <= hi").select(F.col(key).alias("_k"), F.col("lo").alias("rlo"), F.col("hi").alias("rhi"), F.explode(covered).alias("_b"))
+    m = marks.withColumn("_bin", at)
+    j = m.join(r, (F.col(key) == F.col("_k")) & (F.col("_bin") == F.col("_b")) & (F.col("rlo") + anchor <= F.col("lo")) & (F.col("hi") + anchor <= F.col("rhi")), "left")
+    return j.groupBy(key, "lo", "hi").agg(F.count("rlo").alias("n_span"))
 
 
 def thin_overlaps(placed: DataFrame, key: str = "key") -> DataFrame:

@@ -130,6 +130,11 @@ def at_least(kmers: DataFrame, threshold: int | None = None, distinct: float | N
     return kmers_
 
 
+def mhap_threshold(coverage: Column) -> Column:
+    """k-mers of corrected reads are too frequent for sketches from five times the expected coverage on."""
+    return F.floor(5.0 * coverage).cast("bigint")
+
+
 def ignore_list(frequent: DataFrame, total: Column | int) -> DataFrame:
     """(kmer, frac, count, total) of both orientations of each k-mer."""
     both = F.array_distinct(F.array("kmer", reverse_complement(F.col("kmer"))))

@@ -11,6 +11,10 @@ from ..functions.seq import decode_evalue
 from . import intervals as I
 
 
+#: Bases of a bin in joins of stretches of a tig.
+BIN = 4096
+
+
 def project(overlaps: DataFrame, placed: DataFrame) -> DataFrame:
     """Where each overlap puts its read a, by the placement (tig_id, read_id, lo, hi, reverse) of b.
 
@@ -44,14 +48,51 @@ def cluster(projected: DataFrame, slop: float = 0.075) -> DataFrame:
     return placed.withColumn("f_coverage", (F.col("cend") - F.col("cbgn")) / F.col("a_len")).drop("_lo", "_hi")
 
 
-def place_contained(clusters: DataFrame, min_coverage: float = 0.99, max_erate: float = 0.05) -> DataFrame:
-    """The placement with the lowest error of each read that is covered well enough."""
+def place_contained(clusters: DataFrame, min_coverage: float = 0.99, max_erate: float = 0.05, placed: DataFrame | None = None) -> DataFrame:
+    """The placement with the lowest error of each read that is covered well enough; with ``placed``, one in a tig of a single read
+    only if the read has none in another."""
     e = F.col("errors") / F.col("aligned")
     good = clusters.withColumn("erate", e).where((F.col("f_coverage") >= min_coverage) & (e <= max_erate))
+    if placed is not None:
+        sizes = placed.groupBy("tig_id").agg((F.count(F.lit(1)) == 1).alias("_alone"))
+        good = good.join(sizes, "tig_id").withColumn("_all", F.min("_alone").over(W.partitionBy("read_id"))).where(~F.col("_alone") | F.col("_all")).drop("_alone", "_all")
     w = W.partitionBy("read_id").orderBy("erate", F.desc("aligned"), "tig_id", "lo", "reverse")
     return good.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
+def without_singletons(placed: DataFrame) -> DataFrame:
+    """Placements in tigs of two reads or more; the reads of other tigs are unplaced."""
+    few = placed.groupBy("tig_id").agg(F.count(F.lit(1)).alias("n")).where("n < 2").select("tig_id")
+    return placed.join(few, "tig_id", "left_anti")
+
+
+def promoted(placed: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(tig_id, read_id, lo, hi, reverse) of reads (read_id, len) that are in no tig: each becomes one of its own, named by the read."""
+    z = F.lit(0).cast("bigint")
+    return lengths.where("len > 0").join(placed.select("read_id").distinct(), "read_id", "left_anti").select(F.col("read_id").alias("tig_id"), "read_id", z.alias("lo"), F.col("len").cast("bigint").alias("hi"), F.lit(False).alias("reverse"))
+
+
+def thickest(placed: DataFrame, regions: DataFrame, after: bool, bin_size: int = 4096) -> DataFrame:
+    """(tig_id, read_id, other_id, thickness) of reads that begin (``after``: end) inside a region (tig_id, rlo, rhi): the read placed before
+    (after) them that overlaps them the most, if that overlap ends (begins) inside the region too.
+
+    ``placed`` has the reads that count as neighbours. Reads meet in bins of a tig, each pair in the bin of the later begin.
+    """
+    p = placed.select("tig_id", "read_id", "lo", "hi")
+    edge = F.col("hi") if after else F.col("lo")
+    r = regions.select("tig_id", "rlo", "rhi", F.explode(F.sequence(F.floor(F.col("rlo") / bin_size), F.floor(F.col("rhi") / bin_size))).alias("bin"))
+    inside = p.withColumn("bin", F.floor(edge / bin_size)).join(r, ["tig_id", "bin"]).where(edge.between(F.col("rlo"), F.col("rhi")))
+    # of two reads the one that begins later does so within the other
+    begin, covered = F.floor(F.col("lo") / bin_size), F.explode(F.sequence(F.floor(F.col("lo") / bin_size), F.floor(F.col("hi") / bin_size)))
+    inside = inside.withColumn("bin", covered if after else begin)
+    o = p.select("tig_id", F.col("read_id").alias("other_id"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"), (begin if after else covered).alias("bin"))
+    first = F.struct("lo", "hi", "read_id") < F.struct(F.col("olo").alias("lo"), F.col("ohi").alias("hi"), F.col("other_id").alias("read_id"))
+    size, reach = (F.col("hi") - F.col("olo"), F.col("olo")) if after else (F.col("ohi") - F.col("lo"), F.col("ohi"))
+    j = inside.join(o, ["tig_id", "bin"]).where((first if after else ~first) & (F.col("read_id") != F.col("other_id")) & (size > 0))
+    best = j.groupBy("tig_id", "read_id", "rlo", "rhi").agg(F.max(F.struct(size.alias("thickness"), (-F.col("other_id")).alias("neg"), reach.alias("reach"))).alias("b"))
+    return best.where(F.col("b.reach").between(F.col("rlo"), F.col("rhi"))).select("tig_id", "read_id", (-F.col("b.neg")).alias("other_id"), F.col("b.thickness").alias("thickness"))
+
+
 def in_tig(overlaps: DataFrame, placed: DataFrame) -> DataFrame:
     """(tig_id, lo, hi, evalue) of overlaps whose reads lie in one tig and intersect there."""
     p = placed.select("tig_id", "read_id", "lo", "hi")
@@ -78,8 +119,10 @@ def error_profile(spans: DataFrame) -> DataFrame:
 
 def consistency(spans: DataFrame, profile: DataFrame, deviations: float = 6.0) -> DataFrame:
     """(tig_id, lo, hi, evalue, share): part of each stretch's bases where its error is within the profile's bound."""
-    p = profile.select(F.col("tig_id").alias("t"), F.col("lo").alias("plo"), F.col("hi").alias("phi"), (F.col("mean") + deviations * F.col("stddev")).alias("bound"))
-    j = spans.join(p, (F.col("tig_id") == F.col("t")) & (F.col("plo") < F.col("hi")) & (F.col("lo") < F.col("phi")))
+    bins = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / BIN), F.floor((F.col(hi) - 1) / BIN))).alias("_bin")
+    p = profile.where("lo < hi").select("tig_id", F.col("lo").alias("plo"), F.col("hi").alias("phi"), (F.col("mean") + deviations * F.col("stddev")).alias("bound"), bins("lo", "hi"))
+    j = spans.select("*", bins("lo", "hi")).join(p, ["tig_id", "_bin"]).where((F.col("plo") < F.col("hi")) & (F.col("lo") < F.col("phi")))
+    j = j.where(F.col("_bin") == F.floor(F.greatest("lo", "plo") / BIN))  # each pair in its first common bin
     n = F.least("hi", "phi") - F.greatest("lo", "plo")
     return j.groupBy("tig_id", "lo", "hi", "evalue").agg((F.sum(F.when(F.col("evalue") <= F.col("bound"), n).otherwise(0)) / F.sum(n)).alias("share"))
 

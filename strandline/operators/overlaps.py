@@ -27,11 +27,11 @@ def seed_pairs(reads: DataFrame, k: int, min_count: int = 2, max_count: int = 10
 
 
 def seed_clusters(pairs: DataFrame, lengths: DataFrame, k: int, min_seeds: int = 1) -> DataFrame:
-    """Seeds of a pair and orientation as one row: seeds, mean diagonal (b turned if flipped), extent on a."""
+    """Seeds of a pair and orientation as one row: seeds, mean diagonal (b turned if flipped), extent on a, and the first seed."""
     j = pairs.join(lengths.select(F.col("read_id").alias("b_id"), F.col("len").alias("b_len")), "b_id")
     turned = F.when(F.col("flipped"), F.col("b_len") - k - F.col("bpos")).otherwise(F.col("bpos"))
     j = j.withColumn("bpos", turned)
-    return j.groupBy("a_id", "b_id", "flipped").agg(F.count(F.lit(1)).alias("seeds"), F.floor(F.avg(F.col("apos") - F.col("bpos"))).alias("diagonal"), F.min(F.col("apos") - F.col("bpos")).alias("diag_bgn"), F.max(F.col("apos") - F.col("bpos")).alias("diag_end"), F.min("apos").alias("a_first"), F.max("apos").alias("a_last")).where(F.col("seeds") >= min_seeds)
+    return j.groupBy("a_id", "b_id", "flipped").agg(F.count(F.lit(1)).alias("seeds"), F.floor(F.avg(F.col("apos") - F.col("bpos"))).alias("diagonal"), F.min(F.col("apos") - F.col("bpos")).alias("diag_bgn"), F.max(F.col("apos") - F.col("bpos")).alias("diag_end"), F.min("apos").alias("a_first"), F.max("apos").alias("a_last"), F.min(F.struct("apos", "bpos")).alias("seed")).where(F.col("seeds") >= min_seeds).select("a_id", "b_id", "flipped", "seeds", "diagonal", "diag_bgn", "diag_end", "a_first", "a_last", F.col("seed.apos").alias("a_seed"), F.col("seed.bpos").alias("b_seed"))
 
 
 def enough_seeds(clusters: DataFrame, k: int, erate: float, least: int) -> DataFrame:
@@ -50,6 +50,16 @@ def from_diagonals(clusters: DataFrame, lengths: DataFrame, evalue: int = 0) ->
     return o.where((F.col("ahg5") + F.col("ahg3") < F.col("a_len")) & (F.col("bhg5") + F.col("bhg3") < F.col("b_len")))
 
 
+def snap_hangs(pairs: DataFrame, slop: int = 15) -> DataFrame:
+    """Overlaps (a_bgn, a_end, b_bgn, b_end) within clear ranges (a_clr_bgn, ...), of which ends of b that miss its clear range by less
+    than ``slop`` are moved there, as far as a's clear range allows, together with a's."""
+    c = F.col
+    hang5, hang3 = c("b_bgn") - c("b_clr_bgn"), c("b_clr_end") - c("b_end")
+    by5 = F.when(hang5 < slop, F.least(hang5, c("a_bgn") - c("a_clr_bgn"))).otherwise(0)
+    by3 = F.when(hang3 < slop, F.least(hang3, c("a_clr_end") - c("a_end"))).otherwise(0)
+    return pairs.withColumns({"a_bgn": c("a_bgn") - by5, "b_bgn": c("b_bgn") - by5, "a_end": c("a_end") + by3, "b_end": c("b_end") + by3})
+
+
 def limit_per_read(clusters: DataFrame, limit: int) -> DataFrame:
     """At most ``limit`` overlaps on each side of a read, in the order of mean diagonal."""
     for side in ("a_id", "b_id"):

@@ -111,3 +111,9 @@ def best_edge_trim(overlaps: DataFrame, ranges: DataFrame) -> DataFrame:
     half = F.floor((F.col("bgn") + F.col("end")) / 2)
     at5, at3 = iv.where(F.col("lo") < half).groupBy("read_id").agg(best5.alias("b")), iv.where(F.col("hi") > half).groupBy("read_id").agg(best3.alias("e"))
     return at5.join(at3, "read_id").select("read_id", (-F.col("b.neg")).alias("bgn"), F.col("e.pos").alias("end"))
+
+
+def merge_ranges(batches: DataFrame) -> DataFrame:
+    """(read_id, bgn, end) of clear ranges (batch, read_id, bgn, end) that batches of reads have written; of a read in several, the last batch's."""
+    last = batches.groupBy("read_id").agg(F.max(F.struct("batch", "bgn", "end")).alias("r"))
+    return last.select("read_id", "r.bgn", "r.end")

@@ -42,7 +42,7 @@ def filter_stats(spark, d):
 
 
 _SAMP = OVL + f""", sc AS (SELECT a_id, {SCORE} AS score FROM ovl), rk AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY score DESC) - 1 AS rank, count(*) OVER (PARTITION BY a_id) AS n FROM sc),
-w AS (SELECT DISTINCT a_id, n, least(10.0, greatest(1.0, n / 16)) AS step, i FROM rk, (SELECT unnest(range(16))::INT AS i)),
+w AS (SELECT a_id, n, least(10.0, greatest(1.0, n / 16)) AS step, i FROM (SELECT a_id, count(*) AS n FROM sc GROUP BY a_id), (SELECT unnest(range(16))::INT AS i)),
 p AS (SELECT a_id, i, least(CASE WHEN i < 15 AND i * step < n THEN floor(i * step + 0.5)::BIGINT ELSE n - 1 END, n - 1) AS rank FROM w), sa AS (SELECT p.a_id, i, p.rank, score FROM p JOIN rk ON rk.a_id = p.a_id AND rk.rank = p.rank)"""
 
 

@@ -80,7 +80,10 @@ def fastq_roundtrip(spark, d):
     return r
 
 
-@query()
+_MIX = lambda k, m: f"((id * 31 + {k} * 7919 + 104729) % 2147483647 * 48271 % 2147483647 * 69621 % 2147483647) % {m}"
+
+
+@query(f"WITH i AS (SELECT unnest(range((SELECT count(*) FROM orders))) AS id), r AS (SELECT {_MIX(1, 1000)} + 1 AS a_id, {_MIX(2, 1000)} + 1 AS b_id, {_MIX(3, 2)} = 1 AS flipped, {_MIX(4, READ_LEN // 2)} AS ahg5, 0::BIGINT AS ahg3, 0::BIGINT AS bhg5, {_MIX(5, READ_LEN // 2)} AS bhg3, {_MIX(6, 1000)} AS evalue FROM i) SELECT *, {READ_LEN} - greatest(ahg5, bhg3) AS span FROM r WHERE a_id <> b_id")
 def random_overlaps(spark, d):
     n = load(spark, d, "orders").count()
     return X.random_overlaps(spark, n, 1000, READ_LEN)

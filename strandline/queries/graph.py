@@ -132,3 +132,51 @@ def remove_spurs(spark, d):
 SELECT tig_id, first, last, n > 1 AND EXISTS (FROM ovl WHERE a_id = last AND b_id = first) AS circular FROM e""")
 def circular_candidates(spark, d):
     return H.circular_candidates(layout(spark, d), overlaps(spark, d))
+
+
+def _edges(name: str, most: int) -> str:
+    """Contained reads and best edges of the overlaps of an evalue of at most ``most``."""
+    return f"""g{name} AS (SELECT * FROM gv WHERE evalue <= {most}), c{name} AS (SELECT DISTINCT a_id AS read_id FROM g{name} WHERE ah <= 0 AND bh >= 0 AND NOT (ah = 0 AND bh = 0 AND a_id > b_id)),
+b{name} AS (SELECT a_id AS read_id, ah > 0 AS end3p, b_id, (ah > 0) = flipped AS b3p, ah AS a_hang, bh AS b_hang, evalue, score FROM (SELECT *, (CASE WHEN ah > 0 THEN {READ_LEN} - ah ELSE {READ_LEN} + bh END) * 65536 + 65535 - evalue AS score FROM g{name} WHERE ah * bh > 0 AND a_id NOT IN (FROM c{name}) AND b_id NOT IN (FROM c{name}))
+  QUALIFY row_number() OVER (PARTITION BY a_id, ah > 0 ORDER BY score DESC, b_id, (ah > 0) = flipped) = 1), s{name} AS (SELECT (SELECT count(DISTINCT read_id) FROM b{name}) / (SELECT count(DISTINCT a_id) FROM gv WHERE a_id NOT IN (FROM c{name})) AS share)"""
+
+
+_INIT = GV + ", " + _edges("1", 25) + ", " + _edges("2", 2000)
+
+
+@query(_INIT + " SELECT *, 0.00025::DOUBLE AS erate FROM b1 WHERE (FROM s1) >= 0.9 UNION ALL SELECT *, 0.02 FROM b2 WHERE (FROM s1) < 0.9")
+def find_initial_edges(spark, d):
+    """The graph's limit is too tight here, so the larger one holds."""
+    _, best_, limit = H.initial_edges(graph(spark, d), 0.00025, 0.02, 0.9)
+    return best_.withColumn("erate", F.lit(limit))
+
+
+@query(GV.replace("WITH ", "WITH RECURSIVE ", 1) + """, nx AS (SELECT read_id * 2 + end3p::INT AS node, b_id * 2 + (NOT b3p)::INT AS nxt FROM be), st AS (SELECT read_id * 2 AS node FROM (SELECT DISTINCT read_id FROM be) UNION SELECT read_id * 2 + 1 FROM be),
+wk AS (SELECT node, node AS here FROM st UNION SELECT wk.node, nx.nxt FROM wk JOIN nx ON nx.node = wk.here), pl AS (SELECT node // 2 AS read_id, count(*) AS path_len FROM wk GROUP BY node // 2)
+SELECT read_id, path_len, row_number() OVER (ORDER BY path_len DESC, read_id) - 1 AS rank FROM pl""")
+def chunk_order(spark, d):
+    return H.chunk_order(H.chunk_lengths(best(spark, d)))
+
+
+_SPUR = """, nx AS (SELECT read_id * 2 + end3p::INT AS node FROM be), sr AS (SELECT DISTINCT a_id AS read_id FROM gv WHERE a_id NOT IN (FROM ct) AND (a_id * 2 NOT IN (FROM nx) OR a_id * 2 + 1 NOT IN (FROM nx)))"""
+
+
+@query(GV + _SPUR + " SELECT read_id, end3p, b_id, b3p FROM be WHERE read_id NOT IN (FROM sr) OR b_id IN (FROM sr)")
+def repair_spurs(spark, d):
+    g = graph(spark, d)
+    inside = H.contained(g)
+    edges = H.best_edges(g, inside)
+    reads = g.select(F.col("a_id").alias("read_id")).distinct().join(inside, "read_id", "left_anti")
+    return H.repair_spurs(edges, H.spur_marks(edges, reads).where("spur")).select("read_id", "end3p", "b_id", "b3p")
+
+
+@query(GV + f""", pl AS (SELECT a_id % 20 AS tig_id, a_id AS read_id, a_id * 977 % 40000 AS lo, a_id * 977 % 40000 + {READ_LEN} AS hi, a_id % 3 = 0 AS reverse FROM (SELECT DISTINCT a_id FROM ovl0)),
+pi AS (SELECT *, row_number() OVER (PARTITION BY tig_id ORDER BY lo, hi, read_id) AS i, count(*) OVER (PARTITION BY tig_id) AS n FROM pl),
+en AS (SELECT tig_id, read_id, reverse, false AS t3 FROM pi WHERE i = 1 UNION ALL SELECT tig_id, read_id, reverse, true FROM pi WHERE i = n),
+ou AS (SELECT en.tig_id, t3, be.b_id, be.b3p FROM en LEFT JOIN be ON be.read_id = en.read_id AND be.end3p = (t3 <> reverse)),
+hi AS (SELECT ou.tig_id, ou.t3, p.tig_id AS into_tig, ou.b_id AS into_read, NOT (n > 4 AND i <= 8) AS n3 FROM ou JOIN pi p ON p.read_id = ou.b_id WHERE ou.b3p <> p.reverse AND n > 4 AND (i <= 8 OR i + 8 > n))
+SELECT hi.tig_id, hi.t3 AS end3p, into_tig, into_read FROM hi JOIN ou o ON o.tig_id = into_tig AND o.t3 = n3 WHERE o.b_id IS NULL""")
+def detect_spurs(spark, d):
+    from .layouts import placed
+
+    return H.spur_report(placed(spark, d), best(spark, d), 8, 4)

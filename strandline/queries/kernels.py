@@ -92,3 +92,21 @@ def template_consensus(spark, d):
     first = n.where("c = 1").select("read_id", F.col("other").alias("template"))
     others = n.groupBy("read_id").agg(F.collect_list("other").alias("others"))
     return E.template_consensus(first.join(others, "read_id"), min_coverage=0)
+
+
+_IN = "WITH " + _VT + """, ic AS (SELECT l_orderkey % 300 AS read_id, l_partkey % 50 AS pos, ['A', 'AC', 'G', 'A'][l_linenumber % 4 + 1] AS ins, count(*) AS n FROM lineitem GROUP BY ALL), cf AS (SELECT read_id, pos, no_insert, no_insert % 3 AS conf FROM tl),
+pi AS (SELECT read_id, pos, sum(n) AS total, count(*) FILTER (WHERE n >= 3) AS al, min((-n, ins)) AS top FROM ic GROUP BY 1, 2),
+pj AS (SELECT pi.*, -top[1] AS most, coalesce(no_insert, 0) AS no_insert, coalesce(conf, 0) AS conf FROM pi LEFT JOIN cf USING (read_id, pos))"""
+
+
+@query(_IN + " SELECT read_id, pos, top[2] AS ins FROM pj WHERE conf < 2 AND total > 1 AND 2 * most > total + no_insert AND al + (no_insert >= 3)::INT < 2 AND NOT (conf = 1 AND most <= 6)")
+def check_insert(spark, d):
+    l = load(spark, d, "lineitem")
+    ins = F.element_at(F.array(*[F.lit(x) for x in ("A", "AC", "G", "A")]), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    counts = l.groupBy((F.col("l_orderkey") % 300).alias("read_id"), (F.col("l_partkey") % 50).alias("pos"), ins.alias("ins")).agg(F.count(F.lit(1)).alias("n"))
+    return E.check_insert(counts, E.tally(cast(spark, d)).withColumn("conf_no_insert", F.col("no_insert") % 3), expected=2, confirm=3)
+
+
+@query("WITH " + _VT + ", ht AS (SELECT read_id, pos FROM tl WHERE deletes >= 2 AND a_subst + c_subst + g_subst + t_subst + confirmed >= 2) SELECT DISTINCT tl.read_id, tl.pos FROM tl JOIN ht ON ht.read_id = tl.read_id AND tl.pos BETWEEN ht.pos - 1 AND ht.pos + 1")
+def freeze_deletes(spark, d):
+    return E.frozen_deletes(E.tally(cast(spark, d)), 2)

@@ -124,3 +124,9 @@ def minhash_pairs(spark, d):
 @query(sql("refs") + ", " + mers("refs", 8) + ", m AS (SELECT *, md5(kmer) AS h FROM km), w AS (SELECT a.read_id, a.pos AS win, min((b.h, b.pos)) AS m FROM m a JOIN m b ON a.read_id = b.read_id AND b.pos BETWEEN a.pos AND a.pos + 4 GROUP BY 1, 2 HAVING count(*) = 5) SELECT DISTINCT w.read_id, m[2] AS pos, km.kmer FROM w JOIN km ON km.read_id = w.read_id AND km.pos = m[2]")
 def minimizers(spark, d):
     return S.minimizers(K.expand(references(spark, d), 8), 5)
+
+
+@query(sql("reads") + " SELECT library, floor(5.0 * sum(len) / 10000)::BIGINT AS threshold FROM reads GROUP BY library")
+def mhap_threshold(spark, d):
+    """Per library, for a genome of 10,000 bases."""
+    return reads(spark, d).groupBy("library").agg(K.mhap_threshold(F.sum("len") / 10_000).alias("threshold"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import layouts as L
 from ..operators import reads as R
-from ..tables import READ_LEN, layout, sql
+from ..tables import READ_LEN, layout, load, sql
 from . import register
 from .intervals import merged
 from .overlaps import full
@@ -45,9 +45,15 @@ def place_read_clusters(spark, d):
     return L.cluster(L.project(full(spark, d), placed(spark, d))).select("read_id", "tig_id", "reverse", "lo", "hi", "vlo", "vhi", "cbgn", "cend", "n")
 
 
-@query()
+_LEN = f"greatest(CASE WHEN ah < 0 THEN {READ_LEN} + least(bh, 0) ELSE {READ_LEN} - ah + least(bh, 0) END, CASE WHEN ah < 0 THEN CASE WHEN bh < 0 THEN {READ_LEN} + ah ELSE {READ_LEN} + ah - bh END ELSE CASE WHEN bh < 0 THEN {READ_LEN} ELSE {READ_LEN} - bh END END)"
+_PLC = _CLU.replace("greatest(ah, 0) AS cbgn", f"{_LEN} * (evalue / 100000) AS errors, greatest(ah, 0) AS cbgn").replace("count(*) AS n FROM c2", "count(*) AS n, sum(errors) / sum(cend - cbgn) AS erate, sum(cend - cbgn) AS aligned FROM c2")
+
+
+@query(_PLC + f""", sg AS (SELECT tig_id, count(*) = 1 AS alone FROM pl GROUP BY 1), gd AS (SELECT pc.*, alone, bool_and(alone) OVER (PARTITION BY read_id) AS al FROM pc JOIN sg USING (tig_id) WHERE (cend - cbgn) / {READ_LEN} >= 0.9 AND erate <= 0.02)
+SELECT read_id, tig_id, reverse, lo, hi, round(erate, 9) AS erate FROM gd WHERE NOT alone OR al QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY erate, aligned DESC, tig_id, lo, reverse) = 1""")
 def place_contains(spark, d):
-    return L.place_contained(L.cluster(L.project(full(spark, d), placed(spark, d))), 0.9, 0.02)
+    p = placed(spark, d)
+    return L.place_contained(L.cluster(L.project(full(spark, d), p)), 0.9, 0.02, p).select("read_id", "tig_id", "reverse", "lo", "hi", F.round("erate", 9).alias("erate"))
 
 
 _TIG = _PL + ", sp AS (SELECT a.tig_id, greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi, evalue FROM ovl JOIN pl a ON a.read_id = a_id JOIN pl b ON b.read_id = b_id WHERE a_id < b_id AND a.tig_id = b.tig_id AND greatest(a.lo, b.lo) < least(a.hi, b.hi))"
@@ -145,3 +151,45 @@ SELECT tig_id, coalesce(no, 0) AS n_orphan, coalesce(nb, 0) AS n_bubble, CASE WH
 @query(_ORPHAN)
 def orphan_decisions(spark, d):
     return L.orphan_decisions(clusters(spark, d), placed(spark, d), 0.9)
+
+
+_FEW = "WITH fw AS (SELECT o_custkey * 10 + o_orderkey % 10 AS tig_id, o_orderkey AS read_id, o_orderkey % 700 AS lo, o_orderkey % 700 + 300 AS hi FROM orders), sz AS (SELECT tig_id, count(*) AS n FROM fw GROUP BY 1)"
+
+
+def small_tigs(spark, d):
+    """Tigs of one read and of few."""
+    o = load(spark, d, "orders")
+    lo = F.col("o_orderkey") % 700
+    return o.select((F.col("o_custkey") * 10 + F.col("o_orderkey") % 10).alias("tig_id"), F.col("o_orderkey").alias("read_id"), lo.alias("lo"), (lo + 300).alias("hi"), F.lit(False).alias("reverse"))
+
+
+@query(_FEW + " SELECT tig_id, read_id, lo FROM fw JOIN sz USING (tig_id) WHERE n > 1")
+def break_singletons(spark, d):
+    return L.without_singletons(small_tigs(spark, d)).select("tig_id", "read_id", "lo")
+
+
+@query(_FEW + " SELECT read_id AS tig_id, read_id, 0::BIGINT AS lo, 300::BIGINT AS hi, false AS reverse FROM fw JOIN sz USING (tig_id) WHERE n = 1")
+def promote_to_singleton(spark, d):
+    p = small_tigs(spark, d)
+    return L.promoted(L.without_singletons(p), p.select("read_id", (F.col("hi") - F.col("lo")).alias("len")))
+
+
+_THICK = sql("lay") + """, rg AS (SELECT DISTINCT tig_id, lo // 5000 * 5000 AS rlo, lo // 5000 * 5000 + 2500 AS rhi FROM lay),
+pv AS (SELECT a.tig_id, a.read_id, b.read_id AS other_id, b.hi - a.lo AS th, b.hi AS reach, rlo, rhi FROM lay a JOIN rg ON rg.tig_id = a.tig_id AND a.lo BETWEEN rlo AND rhi JOIN lay b ON b.tig_id = a.tig_id AND (b.lo, b.hi, b.read_id) < (a.lo, a.hi, a.read_id) AND b.hi > a.lo),
+nt AS (SELECT a.tig_id, a.read_id, b.read_id AS other_id, a.hi - b.lo AS th, b.lo AS reach, rlo, rhi FROM lay a JOIN rg ON rg.tig_id = a.tig_id AND a.hi BETWEEN rlo AND rhi JOIN lay b ON b.tig_id = a.tig_id AND (b.lo, b.hi, b.read_id) > (a.lo, a.hi, a.read_id) AND b.lo < a.hi)"""
+_BEST = "SELECT tig_id, read_id, other_id, th AS thickness FROM (SELECT * FROM {} QUALIFY row_number() OVER (PARTITION BY tig_id, read_id, rlo, rhi ORDER BY th DESC, other_id) = 1) WHERE reach BETWEEN rlo AND rhi"
+
+
+def regions(spark, d):
+    at = F.floor(F.col("lo") / 5000) * 5000
+    return layout(spark, d).select("tig_id", at.alias("rlo"), (at + 2500).alias("rhi")).distinct()
+
+
+@query(f"{_THICK} {_BEST.format('pv')}")
+def thickest_previous(spark, d):
+    return L.thickest(layout(spark, d), regions(spark, d), after=False)
+
+
+@query(f"{_THICK} {_BEST.format('nt')}")
+def thickest_next(spark, d):
+    return L.thickest(layout(spark, d), regions(spark, d), after=True)

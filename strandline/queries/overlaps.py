@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import alignment as A
 from ..operators import overlaps as O
-from ..tables import READ_LEN, intervals, overlaps, reads, sql  # noqa: F401
+from ..tables import READ_LEN, load, overlaps, reads, sql
 from . import register
 from .intervals import depths, merged
 from .kmers import mers
@@ -55,7 +56,7 @@ def clusters(spark, d, least=1):
 
 @query(_SEEDS + " SELECT * FROM cl")
 def seed_cluster(spark, d):
-    return clusters(spark, d)
+    return clusters(spark, d).drop("a_seed", "b_seed")
 
 
 @query(_SEEDS + f" SELECT a_id, b_id, flipped, seeds FROM cl WHERE seeds >= greatest(5, floor(exp(-{K} * 0.02) * (a_last - a_first + {K} - {K} + 1)))")
@@ -174,3 +175,69 @@ SELECT * FROM h WHERE ahg5 + ahg3 < a_len AND bhg5 + bhg3 < b_len"""
 def clip_to_clear(spark, d):
     r = overlaps(spark, d).select(F.col("a_id").alias("read_id"), (F.col("a_id") * 13 % 900).alias("bgn"), (READ_LEN - F.col("a_id") * 7 % 1100).alias("end")).distinct()
     return O.clip_to_clear(full(spark, d), r)
+
+
+@query(_SEEDS + f", cs AS (SELECT cl.a_id, cl.b_id, cl.flipped, cl.seeds, sd.apos, sd.bpos FROM cl JOIN (SELECT a_id, b_id, flipped, min((apos, bpos))[1] AS apos, min((apos, bpos))[2] AS bpos FROM sp GROUP BY 1, 2, 3) sd USING (a_id, b_id, flipped)) SELECT a_id, b_id, flipped, seeds FROM cs JOIN reads a ON a.read_id = a_id JOIN reads b ON b.read_id = b_id WHERE NOT (seeds = 1 AND (least(apos, bpos) > 90 OR least(a.len - apos, b.len - bpos) - {K} > 90))")
+def hopeless_check(spark, d):
+    r = turned(spark, d)
+    c = O.with_lengths(clusters(spark, d), r)
+    return A.hopeful(c, K).select("a_id", "b_id", "flipped", "seeds")
+
+
+@query(_SEEDS + ", w AS (SELECT *, row_number() OVER (PARTITION BY a_id, diagonal >= 0 ORDER BY diagonal, a_id, b_id, flipped) AS ra FROM cl), v AS (SELECT *, row_number() OVER (PARTITION BY b_id, diagonal >= 0 ORDER BY diagonal, a_id, b_id, flipped) AS rb FROM w WHERE ra <= 5) SELECT a_id, b_id, flipped, diagonal FROM v WHERE rb <= 5")
+def limit_per_read(spark, d):
+    return O.limit_per_read(clusters(spark, d), 5).select("a_id", "b_id", "flipped", "diagonal")
+
+
+@query()
+def aligned_overlaps(spark, d):
+    """Seeds of pairs with 20 or more extended to overlaps, accepted at 10 % errors."""
+    r = turned(spark, d)
+    found = A.accepted(A.aligned(clusters(spark, d, 20), r, K, 0.1), 50, 0.1, partial=True)
+    return A.emitted(A.distinct(found))
+
+
+_AL = """al AS (SELECT l_suppkey AS a_id, l_partkey % 20 AS b_id, l_linenumber % 2 = 1 AS flipped, CASE WHEN l_orderkey % 3 = 0 THEN 'branch' ELSE 'dovetail' END AS kind, l_orderkey * 17 % 8000 AS a_bgn, l_orderkey * 17 % 8000 + 100 + l_quantity::BIGINT * 20 AS a_end,
+l_orderkey * 29 % 8000 AS b_bgn, l_orderkey * 29 % 8000 + 100 + l_quantity::BIGINT * 21 AS b_end, l_quantity::BIGINT * l_linenumber % 40 AS errors, 10000 AS a_len, 10000 AS b_len FROM lineitem)"""
+
+
+def alignments(spark, d):
+    """Alignments made of line items."""
+    c = F.col
+    q, a, b = c("l_quantity").cast("bigint"), c("l_orderkey") * 17 % 8000, c("l_orderkey") * 29 % 8000
+    n = F.lit(10_000).cast("bigint")
+    return load(spark, d, "lineitem").select(c("l_suppkey").alias("a_id"), (c("l_partkey") % 20).alias("b_id"), (c("l_linenumber") % 2 == 1).alias("flipped"), F.when(c("l_orderkey") % 3 == 0, "branch").otherwise("dovetail").alias("kind"), a.alias("a_bgn"), (a + 100 + q * 20).alias("a_end"), b.alias("b_bgn"), (b + 100 + q * 21).alias("b_end"), (q * c("l_linenumber") % 40).alias("errors"), n.alias("a_len"), n.alias("b_len"))
+
+
+_ACC = "WITH " + _AL + ", ac AS (SELECT *, errors / least(a_end - a_bgn, b_end - b_bgn) AS quality FROM al WHERE a_end - a_bgn >= 400 AND b_end - b_bgn >= 400 AND errors / least(a_end - a_bgn, b_end - b_bgn) <= 0.03)"
+
+
+@query(_ACC + " SELECT a_id, b_id, flipped, a_bgn, b_bgn, errors, round(quality, 9) AS quality FROM ac WHERE kind = 'dovetail'")
+def accept_overlap(spark, d):
+    return A.accepted(alignments(spark, d), 400, 0.03).select("a_id", "b_id", "flipped", "a_bgn", "b_bgn", "errors", F.round("quality", 9).alias("quality"))
+
+
+_DIS = _ACC + """, r0 AS (SELECT *, CASE WHEN a_bgn < max(a_end) OVER (PARTITION BY a_id, b_id, flipped ORDER BY a_bgn, a_end, b_bgn, b_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM ac),
+r1 AS (SELECT *, sum(nw) OVER (PARTITION BY a_id, b_id, flipped ORDER BY a_bgn, a_end, b_bgn, b_end ROWS UNBOUNDED PRECEDING) AS run FROM r0),
+r2 AS (SELECT * FROM r1 QUALIFY row_number() OVER (PARTITION BY a_id, b_id, flipped, run ORDER BY quality, a_end - a_bgn DESC, a_bgn, b_bgn, a_end, b_end) = 1),
+r3 AS (SELECT * FROM r2 QUALIFY row_number() OVER (PARTITION BY a_id, b_id, flipped ORDER BY quality, a_end - a_bgn DESC, a_bgn, b_bgn, a_end, b_end) <= 3)"""
+
+
+@query(_DIS + " SELECT a_id, b_id, flipped, a_bgn, a_end, b_bgn, b_end, errors FROM r3")
+def distinct_overlaps(spark, d):
+    return A.distinct(A.accepted(alignments(spark, d), 400, 0.03, partial=True)).select("a_id", "b_id", "flipped", "a_bgn", "a_end", "b_bgn", "b_end", "errors")
+
+
+@query(_DIS + " SELECT a_id, b_id, flipped, a_bgn AS ahg5, a_len - a_end AS ahg3, b_bgn AS bhg5, b_len - b_end AS bhg3, least(65535, floor(quality * 100000 + 0.5))::BIGINT AS evalue, greatest(a_end - a_bgn, b_end - b_bgn) AS span, (a_bgn = 0 OR b_bgn = 0) AND (a_end = a_len OR b_end = b_len) AS for_utg, true AS for_obt, true AS for_dup FROM r3")
+def emit_overlaps(spark, d):
+    return A.emitted(A.distinct(A.accepted(alignments(spark, d), 400, 0.03, partial=True))).drop("a_len", "b_len")
+
+
+_SNAP = "WITH " + _AL + ", cl AS (SELECT *, greatest(0, a_bgn - l) AS a0, a_end + r AS a1, greatest(0, b_bgn - l2) AS b0, b_end + r2 AS b1 FROM (SELECT *, a_bgn % 23 AS l, a_end % 19 AS r, b_bgn % 29 AS l2, b_end % 31 AS r2 FROM al)), sn AS (SELECT *, CASE WHEN b_bgn - b0 < 15 THEN least(b_bgn - b0, a_bgn - a0) ELSE 0 END AS d5, CASE WHEN b1 - b_end < 15 THEN least(b1 - b_end, a1 - a_end) ELSE 0 END AS d3 FROM cl)"
+
+
+@query(_SNAP + " SELECT a_id, b_id, flipped, a_bgn - d5 AS a_bgn, b_bgn - d5 AS b_bgn, a_end + d3 AS a_end, b_end + d3 AS b_end FROM sn")
+def snap_small_hangs(spark, d):
+    c, z = F.col, F.lit(0).cast("bigint")
+    o = alignments(spark, d).withColumns({"a_clr_bgn": F.greatest(z, c("a_bgn") - c("a_bgn") % 23), "a_clr_end": c("a_end") + c("a_end") % 19, "b_clr_bgn": F.greatest(z, c("b_bgn") - c("b_bgn") % 29), "b_clr_end": c("b_end") + c("b_end") % 31})
+    return O.snap_hangs(o).select("a_id", "b_id", "flipped", "a_bgn", "b_bgn", "a_end", "b_end")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import trimming as T
-from ..tables import READ_LEN, overlaps, sql
+from ..tables import READ_LEN, load, overlaps, sql
 from . import register
 from .intervals import merged
 from .overlaps import read_len, full
@@ -69,3 +69,10 @@ def trim_bad_interval(spark, d):
 f AS (SELECT read_id, lo AS bgn FROM c WHERE lo < half QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY hi - lo DESC, lo) = 1), t AS (SELECT read_id, hi AS "end" FROM c WHERE hi > half QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY hi - lo DESC, hi DESC) = 1) SELECT * FROM f JOIN t USING (read_id)""")
 def best_edge_trim(spark, d):
     return T.best_edge_trim(full(spark, d), ranges(spark, d))
+
+
+@query("SELECT l_orderkey AS read_id, max((l_linenumber, l_partkey % 500, l_partkey % 500 + 4000 + l_suppkey % 100))[2] AS bgn, max((l_linenumber, l_partkey % 500, l_partkey % 500 + 4000 + l_suppkey % 100))[3] AS \"end\" FROM lineitem GROUP BY 1")
+def merge_ranges(spark, d):
+    bgn = F.col("l_partkey") % 500
+    l = load(spark, d, "lineitem").select(F.col("l_linenumber").alias("batch"), F.col("l_orderkey").alias("read_id"), bgn.alias("bgn"), (bgn + 4000 + F.col("l_suppkey") % 100).alias("end"))
+    return T.merge_ranges(l)

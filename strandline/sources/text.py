@@ -153,7 +153,8 @@ def sam(layout: DataFrame) -> DataFrame:
 def random_overlaps(spark: SparkSession, n: int, reads: int, length: int, seed: int = 1) -> DataFrame:
     """Uniformly random overlaps for stress tests."""
     r = spark.range(n)
-    pick = lambda k, m: F.pmod(F.xxhash64("id", F.lit(seed * 16 + k)), F.lit(m))
+    start = lambda k: (F.col("id") * 31 + k * 7919 + seed * 104_729) % 2_147_483_647
+    pick = lambda k, m: start(k) * 48_271 % 2_147_483_647 * 69_621 % 2_147_483_647 % m
     o = r.select((pick(1, reads) + 1).alias("a_id"), (pick(2, reads) + 1).alias("b_id"), (pick(3, 2) == 1).alias("flipped"), pick(4, length // 2).alias("ahg5"), pick(5, length // 2).alias("bhg3"), pick(6, 1000).alias("evalue"))
     z = F.lit(0).cast("bigint")
     return o.where("a_id <> b_id").select("a_id", "b_id", "flipped", "ahg5", z.alias("ahg3"), z.alias("bhg5"), "bhg3", "evalue", (length - F.greatest("ahg5", "bhg3")).alias("span"))
