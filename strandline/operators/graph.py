@@ -81,11 +81,13 @@ def best_overlap_graph(overlaps: DataFrame, lengths: DataFrame, erate_graph: flo
 
 
 def repair_spurs(best: DataFrame, spurs: DataFrame) -> DataFrame:
-    """Best edges without those that lead from a spur to a read that is none: they would join the spur to a tig."""
+    """Best edges without those that lead from a spur to a read that is none and whose own edge there does not point back."""
     marked = spurs.select("read_id").distinct().withColumn("_spur", F.lit(True))
     j = best.join(marked, "read_id", "left").withColumnRenamed("_spur", "_from")
     j = j.join(marked.select(F.col("read_id").alias("b_id"), F.col("_spur").alias("_to")), "b_id", "left")
-    return j.where(F.col("_from").isNull() | F.col("_to").isNotNull()).select(*best.columns)
+    back = best.select(F.col("read_id").alias("b_id"), F.col("end3p").alias("b3p"), F.col("b_id").alias("read_id"), F.col("b3p").alias("end3p"), F.lit(True).alias("_back"))
+    j = j.join(back, ["read_id", "end3p", "b_id", "b3p"], "left")
+    return j.where(F.col("_from").isNull() | F.col("_to").isNotNull() | F.col("_back").isNotNull()).select(*best.columns)
 
 
 def chunk_order(lengths: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..components import staged
 from ..functions import geometry as G
 from ..functions.seq import reverse_complement
+from ..operators import alignment as A
 from ..operators import correction as C
 from ..operators import errors as E
 from ..operators import graph as H
@@ -82,12 +83,12 @@ class Stages:
 
 
 def find_overlaps(reads: DataFrame, s: Settings) -> DataFrame:
-    """Symmetric overlaps (with lengths) from shared k-mers; seeds too frequent or unique take no part."""
+    """Symmetric overlaps (with lengths): pairs that share k-mers, aligned from a seed; k-mers too frequent or unique take no part."""
     clusters = O.seed_clusters(O.seed_pairs(reads, s.k, 2, s.max_kmer_count), reads, s.k, s.min_seeds)
-    o = O.from_diagonals(O.enough_seeds(clusters, s.k, s.utg_ovl_error, s.min_seeds), reads)
-    long = F.least(G.a_aligned(F.col("a_len")), G.b_aligned(F.col("b_len"))) >= s.min_overlap
-    o = o.where(long).withColumn("span", F.greatest(G.a_aligned(F.col("a_len")), G.b_aligned(F.col("b_len"))))
-    return O.with_lengths(O.symmetrise(O.dedupe_pairs(o)).drop("created"), reads)
+    clusters = A.hopeful(O.with_lengths(O.enough_seeds(clusters, s.k, s.utg_ovl_error, s.min_seeds), reads), s.k)
+    erate = max(s.utg_ovl_error, 1e-5)
+    found = A.distinct(A.accepted(A.aligned(clusters, reads, s.k, erate), s.min_overlap, erate, partial=True))
+    return O.with_lengths(O.symmetrise(O.dedupe_pairs(A.emitted(found))).drop("created"), reads)
 
 
 def chains(best: DataFrame) -> DataFrame:
@@ -125,17 +126,22 @@ def chains(best: DataFrame) -> DataFrame:
 
 
 def layout(reads: DataFrame, overlaps: DataFrame, s: Settings) -> DataFrame:
-    """(tig_id, read_id, lo, hi, reverse): chains of best edges, and contained reads where their overlaps put them."""
-    good = staged(overlaps.where(H.good_quality(max(s.utg_error, 1e-5))))
-    inside = staged(H.contained(good))
-    placed = chains(staged(H.best_edges(good, inside)))
-    lone = reads.select("read_id").join(inside, "read_id", "left_anti").join(placed, "read_id", "left_anti")
-    placed = placed.unionByName(lone.select(F.col("read_id").alias("tig_id"), "read_id", F.lit(0).cast("bigint").alias("pos"), F.lit(False).alias("reverse")))
+    """(tig_id, read_id, lo, hi, reverse): chains of best edges, other reads where their overlaps put them, and what is left each by itself."""
     lens = reads.select("read_id", "len")
+    inside, best, limit = H.best_overlap_graph(overlaps, lens, max(s.utg_error, 1e-5), max(s.utg_ovl_error, 1e-5), s.deviations, s.min_overlap)
+    good = staged(overlaps.where(H.good_quality(limit)))
+    placed = chains(staged(best))
     placed = staged(placed.join(lens, "read_id").select("tig_id", "read_id", F.col("pos").alias("lo"), (F.col("pos") + F.col("len")).alias("hi"), "reverse"))
-    own = good.join(inside.select(F.col("read_id").alias("a_id")), "a_id", "left_semi")
-    more = L.place_contained(L.cluster(L.project(own, placed)), 0.99, 1.0)
-    return placed.unionByName(more.select("tig_id", "read_id", F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"), "reverse"))
+    placed = L.without_singletons(placed)
+    rest = lens.join(placed.select("read_id"), "read_id", "left_anti").select(F.col("read_id").alias("a_id"))
+    more = L.place_contained(L.cluster(L.project(good.join(rest, "a_id", "left_semi"), placed)), 0.99, 1.0, placed)
+    placed = staged(placed.unionByName(more.select("tig_id", "read_id", F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"), "reverse")))
+    # a read by itself draws in those that only it contains
+    alone = staged(L.promoted(placed, lens.join(inside, "read_id", "left_anti")))
+    rest = lens.join(placed.unionByName(alone).select("read_id"), "read_id", "left_anti").select(F.col("read_id").alias("a_id"))
+    more = L.place_contained(L.cluster(L.project(good.join(rest, "a_id", "left_semi"), alone)), 0.99, 1.0)
+    placed = staged(placed.unionByName(alone).unionByName(more.select("tig_id", "read_id", F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"), "reverse")))
+    return placed.unionByName(L.promoted(placed, lens))
 
 
 def contigs(reads: DataFrame, placed: DataFrame, s: Settings) -> DataFrame:

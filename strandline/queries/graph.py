@@ -161,7 +161,7 @@ def chunk_order(spark, d):
 _SPUR = """, nx AS (SELECT read_id * 2 + end3p::INT AS node FROM be), sr AS (SELECT DISTINCT a_id AS read_id FROM gv WHERE a_id NOT IN (FROM ct) AND (a_id * 2 NOT IN (FROM nx) OR a_id * 2 + 1 NOT IN (FROM nx)))"""
 
 
-@query(GV + _SPUR + " SELECT read_id, end3p, b_id, b3p FROM be WHERE read_id NOT IN (FROM sr) OR b_id IN (FROM sr)")
+@query(GV + _SPUR + " SELECT read_id, end3p, b_id, b3p FROM be WHERE read_id NOT IN (FROM sr) OR b_id IN (FROM sr) OR EXISTS (FROM be k WHERE k.read_id = be.b_id AND k.end3p = be.b3p AND k.b_id = be.read_id AND k.b3p = be.end3p)")
 def repair_spurs(spark, d):
     g = graph(spark, d)
     inside = H.contained(g)
