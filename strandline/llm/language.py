@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from .common import as_bytes, map_arrow, spread
 
 ORDER = 3
-#: Expected number of training documents of a language (longer texts than TRAIN_CHARS are not trained on),
-#: most frequent languages, and most frequent contexts that the tables keep: these bound the model at
-#: MAX_CONTEXTS * symbols * languages * 2 bytes.
-TRAIN_DOCS, TRAIN_CHARS, MAX_LANGUAGES, MAX_CONTEXTS = 500, 50_000, 64, 60_000
+#: Expected number of training documents of a language (of longer texts a piece of TRAIN_CHARS is trained on), and contexts of
+#: three symbols that the tables keep, the most frequent ones of all languages. A language has rows of 2 bytes a symbol for the
+#: contexts that occur in it, and 4 bytes for each context that occurs in any: some 3 MB for prose of 40 symbols.
+TRAIN_DOCS, TRAIN_CHARS, MAX_CONTEXTS = 500, 50_000, 60_000
 SCALE, SEGMENT = 256, 1 << 20
 LETTER = re.compile(rb"[A-Za-z]")
 
@@ -35,9 +35,10 @@ class Model:
 
     languages: list[str]
     symbol: np.ndarray  # byte to class; 0 is the start and any byte not trained on
-    two: np.ndarray
-    three: np.ndarray
-    bits: np.ndarray  # language, row * classes + class; in 1 / SCALE bits
+    three: np.ndarray  # three symbols to a context: one of the kept ones, or else of the last two symbols
+    rows: list[np.ndarray]  # of each language, context to row; a context that does not occur in it has the row of a shorter one
+    bits: list[np.ndarray]  # of each language, row * classes + class; in 1 / SCALE bits
+    classes: int
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code length in bits of each text in each language."""
@@ -56,14 +57,16 @@ class Model:
         return out
 
     def _add(self, out: np.ndarray, piece: list[bytes], of: list[int]) -> None:
-        n = len(self.two)
+        n = self.classes
         c = self.symbol[np.frombuffer(b"".join(piece), np.uint8)]
         ctx = self.three[(c[:-3] * n + c[1:-2]) * n + c[2:-1]]
-        cell = ctx * n + c[3:]
+        last = c[3:]
         start = np.cumsum([0, *map(len, piece)])
         # positions of a piece's own bytes; those between pieces belong to none
         edge = np.stack([start[:-1], start[1:] - ORDER], 1).ravel()[:-1]
         for k in range(len(self.languages)):
+            cell = self.rows[k][ctx] * n
+            cell += last
             sums = np.add.reduceat(self.bits[k][cell], edge, dtype=np.int64)[::2]
             np.add.at(out[:, k], of, sums / SCALE)
 
@@ -102,43 +105,55 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], max_contexts: int =
     seen3 = np.sort(seen3[np.argsort(-freq[seen3], kind="stable")][:max_contexts])
     row3 = np.full(n**3, -1, np.int64)
     row3[seen3] = np.arange(len(seen3))
-    rows = []
+    rows, tables = [], []
     for k in languages:
         a, b, c, d, m = parts[k]
-        one, two, three = np.zeros((n, n)), np.zeros((n * n, n)), np.zeros((len(seen3), n))
+        one = np.zeros((n, n))
         np.add.at(one, (c, d), m)
-        np.add.at(two, (b * n + c, d), m)
+        some2, of2 = np.unique(b * n + c, return_inverse=True)
+        two = np.zeros((len(some2), n))
+        np.add.at(two, (of2, d), m)
         at = row3[(a * n + b) * n + c]
-        np.add.at(three, (at[at >= 0], d[at >= 0]), m[at >= 0])
+        some3, of3 = np.unique(at[at >= 0], return_inverse=True)
+        three = np.zeros((len(some3), n))
+        np.add.at(three, (of3, d[at >= 0]), m[at >= 0])
         flat = np.full((1, n), 1 / 256)
         zero = _interpolate(one.sum(0, keepdims=True), flat, weight)
         p1 = _interpolate(one, np.repeat(zero, n, 0), weight)
-        p2 = _interpolate(two, np.tile(p1, (n, 1)), weight)
-        p3 = _interpolate(three, p2[seen3 % (n * n)], weight)
-        p = np.concatenate([p3, p2])
-        rows.append(np.minimum(np.rint(-np.log2(np.maximum(p, 1e-30)) * SCALE), 65535).astype(np.uint16).ravel())
-    two = np.arange(n)  # only its length is used
+        p2 = _interpolate(two, p1[some2 % n], weight)
+        # rows of the last symbol, then of the last two that occur, then of the last three; a context takes the longest it has
+        of_two = np.arange(n * n) % n
+        of_two[some2] = n + np.arange(len(some2))
+        parent = of_two[seen3[some3] % (n * n)]
+        p3 = _interpolate(three, np.concatenate([p1, p2])[parent], weight)
+        of_ctx = np.concatenate([of_two[seen3 % (n * n)], of_two])
+        of_ctx[some3] = n + len(some2) + np.arange(len(some3))
+        p = np.concatenate([p1, p2, p3])
+        rows.append(of_ctx.astype(np.int32))
+        tables.append(np.minimum(np.rint(-np.log2(np.maximum(p, 1e-30)) * SCALE), 65535).astype(np.uint16).ravel())
     three = np.where(row3 >= 0, row3, len(seen3) + np.arange(n**3) % (n * n))
-    return Model(languages, symbol, two, three.astype(np.int32), np.array(rows) if rows else np.empty((0, 1), np.uint16))
+    return Model(languages, symbol, three.astype(np.int32), rows, tables, n)
 
 
 def has_letter(text: bytes) -> bool:
     return bool(LETTER.search(text)) or (not text.isascii() and any(c.isalpha() for c in text.decode("utf-8", "replace")))
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", train_docs: int = TRAIN_DOCS, max_languages: int = MAX_LANGUAGES) -> Model:
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", train_docs: int = TRAIN_DOCS) -> Model:
     """Learns from rows with a language, an expected ``train_docs`` of each, drawn by a hash of the key.
 
-    Counting languages reads two columns; the sample's four-byte runs are counted on the executors. The
-    bound on languages takes the most frequent. Without labelled rows the model has no language.
+    Counting languages reads two columns; the sample's four-byte runs are counted on the executors, and the distinct ones of each
+    language come to the driver, no more than ``train_docs`` pieces hold. Without labelled rows the model has no language.
     """
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(key_col).alias("key"), F.col(text_col).alias("text"))
-    per = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    per = rows.groupBy("lang").count().orderBy("lang").collect()
     if not per:
         return build({})
     share = F.create_map(*[x for r in per for x in (F.lit(r["lang"]), F.lit(min(1.0, train_docs / r["count"])))])
     drawn = (F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))) < share[F.col("lang")]
-    sample = rows.where(drawn & (F.length("text") <= TRAIN_CHARS)).select("lang", "text")
+    # of a long text a piece at a place that the key tells
+    at = F.pmod(F.xxhash64("key", F.lit(5)), F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1))).cast("int") + 1
+    sample = rows.where(drawn & F.col("text").isNotNull()).select("lang", F.substring("text", at, F.lit(TRAIN_CHARS)).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -54,6 +54,22 @@ def test_code_lengths():
     assert np.allclose(both[:, 0], [m.lengths([b"abra"])[0, 0], m.lengths([b"cadab rab"])[0, 0]])
 
 
+def test_contexts_of_other_languages():
+    """A context that does not occur in a language falls back as if the tables had none of it; any number of languages."""
+    r = random.Random(7)
+    texts = {f"l{k:02d}": " ".join("".join(r.choice("abcdefgh"[k % 4 : k % 4 + 4]) for _ in range(5)) for _ in range(6)).encode() for k in range(70)}
+    grams = {k: L.gram_counts(t) for k, t in texts.items()}
+    m = L.build(grams)
+    some = b"abcd efgh hgfe dcba"
+    got = m.lengths([some])[0]
+    assert len(got) == 70
+    for i, k in enumerate(m.languages):
+        if i % 9 == 0:
+            counts = {int(g).to_bytes(4, "big"): int(n) for g, n in zip(*grams[k], strict=True)}
+            assert abs(got[i] - plain_bits(counts, some, None)) < 0.01 * len(some) + 0.05
+    assert all(m.languages[int(m.lengths([t])[0].argmin())] == k for k, t in texts.items())
+
+
 def test_segments(monkeypatch):
     rows = corpus(60)
     g = [np.concatenate([x.encode() and L.gram_counts(x.encode())[0] for _, x, k, _ in rows if k == lang]) for lang in sorted(WORDS)]
