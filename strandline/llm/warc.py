@@ -8,7 +8,8 @@ Columns: record_id, record_type, target_uri, date, payload_digest (bare SHA-256
 refers_to, payload. The block is an HTTP response; a revisit has its head alone, whose Content-Length
 still tells the full payload's length.
 
-Reader options: path (a file or folder), payload ("false": headers only), partition_bytes. Filters on
+Reader options: path (a file or folder), payload ("false": headers only), partition_bytes (files are cut there at the next record,
+if their records tell their lengths; others are read whole). Filters on
 record_type, target_uri, record_id, refers_to, payload_digest and date are pushed down and decided on
 headers alone.
 """
@@ -79,10 +80,29 @@ class _File:
         return self.held[at - self.at : at - self.at + n]
 
 
-def _members(f: _File) -> Iterator[tuple[int, int | None]]:
-    """Start and, where known, length of each gzip member; the caller sends back where the member ended."""
-    at = 0
+def _first_member(f: _File, at: int) -> int:
+    """Where the first member from ``at`` on begins, in a file whose members tell their lengths.
+
+    A head within compressed data is told from a member's by where its length leads: to another head or to the end.
+    """
     while at < f.size:
+        piece = f.get(at, min(1 << 20, f.size - at))
+        k = piece.find(HEAD)
+        if k < 0:
+            at += max(1, len(piece) - len(HEAD) + 1)
+            continue
+        head = f.get(at + k, min(len(HEAD) + 8, f.size - at - k))
+        end = at + k + struct.unpack("<I", head[16:20])[0] if len(head) >= 20 else 0
+        if end == f.size or at + k < end < f.size and f.get(end, min(len(HEAD), f.size - end)) == HEAD:
+            return at + k
+        at += k + 1
+    return f.size
+
+
+def _members(f: _File, lo: int = 0, hi: int | None = None) -> Iterator[tuple[int, int | None]]:
+    """Start and, where known, length of each gzip member that begins in [lo, hi); the caller sends back where the member ended."""
+    at, last = _first_member(f, lo) if lo else 0, f.size if hi is None else hi
+    while at < last:
         head = f.get(at, len(HEAD) + 8)
         known = struct.unpack("<I", head[16:20])[0] if head.startswith(HEAD) else None
         end = yield at, known
@@ -94,10 +114,10 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:]) if k}
 
 
-def read_file(fs: pafs.FileSystem, path: str, wanted: Callable[[dict], bool], payload: bool) -> Iterator[dict]:
-    """Records whose headers are wanted. Headers are inflated first; other payloads are never held."""
+def read_file(fs: pafs.FileSystem, path: str, wanted: Callable[[dict], bool], payload: bool, lo: int = 0, hi: int | None = None) -> Iterator[dict]:
+    """Records that begin in [lo, hi) and whose headers are wanted. Headers are inflated first; other payloads are never held."""
     f = _File(fs, path)
-    members = _members(f)
+    members = _members(f, lo, hi)
     step = next(members, None)
     while step is not None:
         at, known = step
@@ -155,12 +175,12 @@ def _sent(members, end: int):
 
 @dataclass
 class Files(InputPartition):
-    """Archives that one task reads."""
+    """Archives that one task reads: path, first byte, and the byte behind the last (none: the end)."""
 
-    paths: list[str]
+    parts: list[tuple[str, int, int | None]]
 
-    def __init__(self, paths: list[str]) -> None:
-        self.paths = paths
+    def __init__(self, parts: list[tuple[str, int, int | None]]) -> None:
+        self.parts = parts
 
 
 class WarcReader(DataSourceReader):
@@ -189,19 +209,21 @@ class WarcReader(DataSourceReader):
         info = fs.get_file_info(path)
         found = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(path, recursive=True))
         files = sorted((-x.size, x.path) for x in found if x.type == pafs.FileType.File and not x.base_name.startswith((".", "_")))
-        bins: list[tuple[int, list[str]]] = []
+        bins: list[tuple[int, list[tuple[str, int, int | None]]]] = []
         for size, p in files:  # the largest first; a bin is full at partition_bytes
-            if bins and bins[-1][0] - size <= self.partition_bytes:
-                bins[-1] = (bins[-1][0] - size, [*bins[-1][1], p])
+            if -size > self.partition_bytes and _File(fs, p).get(0, len(HEAD)) == HEAD:  # its members tell their lengths: by ranges
+                bins += [(self.partition_bytes, [(p, lo, min(lo + self.partition_bytes, -size))]) for lo in range(0, -size, self.partition_bytes)]
+            elif bins and bins[-1][0] - size <= self.partition_bytes:
+                bins[-1] = (bins[-1][0] - size, [*bins[-1][1], (p, 0, None)])
             else:
-                bins.append((-size, [p]))
+                bins.append((-size, [(p, 0, None)]))
         return [Files(x) for _, x in bins] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         fs, _ = opened(self.path)
         rows, held = [], 0
-        for p in partition.paths:
-            for r in read_file(fs, p, self.wanted, self.payload):
+        for p, lo, hi in partition.parts:
+            for r in read_file(fs, p, self.wanted, self.payload, lo, hi):
                 rows.append(r)
                 held += len(r["payload"] or b"")
                 if len(rows) >= 1000 or held >= 8 << 20:

@@ -61,6 +61,30 @@ def test_files_of_other_writers(spark, tmp_path, packed):
     assert [bytes(r.payload) for r in one] == [b"q"]
 
 
+@pytest.mark.parametrize("size", [50, 700, 5000, 1 << 20])
+def test_byte_ranges(spark, tmp_path, size):
+    """Cut anywhere, every record is read once; heads within payloads do not mislead."""
+    rows = [(i, f"http://a/{i}", ("<p>" + str(i) * 40 + warc.HEAD.decode("latin-1") * (i % 3)), "") for i in range(60)]
+    path = warc.archive_pages(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(tmp_path / "w"))
+    reader = warc.WarcReader({"path": path, "partition_bytes": size})
+    parts = reader.partitions()
+    total = sum(x.stat().st_size for x in (tmp_path / "w").glob("*.gz"))
+    assert len(parts) == max(1, -(-total // size))
+    got = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(int(r["record_id"].rpartition(":")[2]) for r in got) == list(range(60))
+    assert {r["payload"] for r in got} == {h.encode() for _, _, h, _ in rows}
+
+
+def test_a_head_within_data(tmp_path):
+    """What looks like a head but leads nowhere is passed over, also across the pieces that are searched."""
+    rec = warc.encode_record({"record_id": "x", "record_type": "resource", "date": None, "target_uri": None, "payload_digest": None, "payload": b"q" * 50, "payload_length": None, "refers_to": None})
+    data = rec + b"junk" * 3 + warc.HEAD + b"\1\0\0\0\0\0\0\0" + rec + rec
+    (tmp_path / "f").write_bytes(data)
+    fs, path = warc.opened(str(tmp_path / "f"))
+    assert warc._first_member(warc._File(fs, path), 1) == len(data) - 2 * len(rec)
+    assert warc._first_member(warc._File(fs, path), len(data) - len(rec) + 1) == len(data)
+
+
 def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], SCHEMA)
     assert warc.archive_report(df, str(tmp_path / "w")).collect() == []
