@@ -23,10 +23,12 @@ def tune(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is empty (a bare local test session) is a temporary folder used.
+    Only where that setting is empty in a bare local session is a temporary folder used; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/strandline-{uuid.uuid4().hex}"
@@ -85,11 +87,6 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame
     return out.select(*rows.columns, *[pick[v].alias(v) for v in values])
 
 
-def ascii_lower(c: Column) -> Column:
-    """Lower-cases A-Z only."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than space and ASCII control white space; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")

@@ -90,10 +90,11 @@ def offsets(text: bytes, hits: list[dict]) -> list[dict]:
 
 
 def find_hits(rows: DataFrame, benchmark: DataFrame, text_col: str, window: int = 13, item_col: str = "item_id", item_text_col: str = "text", max_pattern_chars: int = MAX_PATTERN_CHARS) -> DataFrame:
-    """``rows`` with a struct column ``_hits``; no shuffle, and one pass over the texts for each automaton.
+    """``rows`` with a struct column ``_hits``; no shuffle, and one automaton, so one scan, for a benchmark of ordinary size.
 
-    The benchmark's windows are counted first: an automaton takes ``max_pattern_chars`` characters, so
-    the driver and the workers hold a bounded piece whatever the benchmark's size. Null or empty texts
+    The benchmark's windows are counted first: an automaton takes ``max_pattern_chars`` characters. A larger benchmark takes
+    further automata, which are chained: each text passes through all of them, and the workers of one task hold one each, so
+    memory grows with the benchmark (not with the documents). Null or empty texts
     have no words; null items have no windows; items that share a window are all reported.
     """
     wtype = "window binary, item string"
