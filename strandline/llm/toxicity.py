@@ -30,7 +30,7 @@ from .common import as_bytes, map_arrow, spread
 TRAIN_DOCS, TRAIN_CHARS = 2500, 30_000
 #: Bytes of a window, of a sample of the history and of the history; bytes and share of windows of each round's dictionaries.
 WINDOW, SAMPLE, HISTORY = 32, 256, 1 << 18
-ROUNDS = ((16384, 1.0), (8192, 0.3), (4096, 0.1), (2048, 0.04))
+ROUNDS = ((16384, 1.0), (8192, 0.3), (4096, 0.1), (2048, 0.04), (2048, 0.04), (2048, 0.04))
 #: Segment and part of a segment that zstandard's trainer counts; shortest match and level of the compressors.
 SEGMENT, PART, MATCH, LEVEL = 16, 6, 5, 9
 STEPS = (2, 3, 4, 5, 6, 8)
@@ -86,11 +86,11 @@ class Distance:
         return np.concatenate([[1.0], np.log1p(50 * np.array(shares, float) / n)])
 
 
-def trained(samples: list[bytes], size: int) -> bytes:
-    """A zstandard dictionary of exactly ``size`` bytes; too few samples are taken as they are."""
+def trained(samples: list[bytes], size: int, **options) -> bytes:
+    """A zstandard dictionary of exactly ``size`` bytes, by default of short segments; too few samples are taken as they are."""
     some = [x for x in samples if len(x) >= 8]
     try:
-        content = zstandard.train_dictionary(size, some, k=SEGMENT, d=PART).as_bytes()
+        content = zstandard.train_dictionary(size, some, **(options or {"k": SEGMENT, "d": PART})).as_bytes()
     except zstandard.ZstdError:
         content = b"".join(some)[:size]
     return content.rjust(size, b"\0")
@@ -149,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def pieces(y: int, *parts: int, size: int = WINDOW) -> list[bytes]:
         return [w for t in lower[(sample["y"] == y) & part.isin(parts)] for w in windows(t, size)]
 
-    history = trained(pieces(0, 1, 2, size=SAMPLE), HISTORY)  # not of the calibration
+    # segments of the length that zstandard finds best; not of the calibration
+    history = trained(pieces(0, 1, 2, size=SAMPLE), HISTORY, k=0, d=0)
     model = Model(*dictionaries([pieces(1, 1), pieces(1, 2)], [pieces(0, 1), pieces(0, 2)], history), history, np.zeros(0))
     y = sample["y"][part == 0].to_numpy(float)
     if len(set(y)) < 2:
