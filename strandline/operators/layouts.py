@@ -72,24 +72,28 @@ def promoted(placed: DataFrame, lengths: DataFrame) -> DataFrame:
     return lengths.where("len > 0").join(placed.select("read_id").distinct(), "read_id", "left_anti").select(F.col("read_id").alias("tig_id"), "read_id", z.alias("lo"), F.col("len").cast("bigint").alias("hi"), F.lit(False).alias("reverse"))
 
 
-def thickest(placed: DataFrame, regions: DataFrame, after: bool, bin_size: int = 4096) -> DataFrame:
+def thickest(placed: DataFrame, regions: DataFrame, after: bool, bin_size: int = 256) -> DataFrame:
     """(tig_id, read_id, other_id, thickness) of reads that begin (``after``: end) inside a region (tig_id, rlo, rhi): the read placed before
     (after) them that overlaps them the most, if that overlap ends (begins) inside the region too.
 
-    ``placed`` has the reads that count as neighbours. Reads meet in bins of a tig, each pair in the bin of the later begin.
+    ``placed`` has the reads that count as neighbours, in the order of begin, end and id. The thickest overlap with a read before is the one
+    that reaches farthest (with a read after: that begins first), so a running best replaces the pairs: over a bin's reads, then over bins.
     """
-    p = placed.select("tig_id", "read_id", "lo", "hi")
+    p = placed.select("tig_id", "read_id", "lo", "hi").where("lo is not null and hi is not null and read_id is not null").distinct().withColumn("bin", F.floor(F.col("lo") / bin_size))
+    # the sign makes the better one the greater: the farthest end or the first begin, of equals the least id
+    reach = -F.col("lo") if after else F.col("hi")
+    p = p.withColumn("me", F.struct(reach.alias("reach"), (-F.col("read_id")).alias("neg")))
+    along = F.desc if after else F.asc  # a frame that only grows takes one pass
+    near = F.max("me").over(W.partitionBy("tig_id", "bin").orderBy(along("lo"), along("hi"), along("read_id")).rowsBetween(W.unboundedPreceding, -1))
+    bins = p.groupBy("tig_id", "bin").agg(F.max("me").alias("most"))
+    far = bins.select("tig_id", "bin", F.max("most").over(W.partitionBy("tig_id").orderBy(along("bin")).rowsBetween(W.unboundedPreceding, -1)).alias("far"))
     edge = F.col("hi") if after else F.col("lo")
-    r = regions.select("tig_id", "rlo", "rhi", F.explode(F.sequence(F.floor(F.col("rlo") / bin_size), F.floor(F.col("rhi") / bin_size))).alias("bin"))
-    inside = p.withColumn("bin", F.floor(edge / bin_size)).join(r, ["tig_id", "bin"]).where(edge.between(F.col("rlo"), F.col("rhi")))
-    # of two reads the one that begins later does so within the other
-    begin, covered = F.floor(F.col("lo") / bin_size), F.explode(F.sequence(F.floor(F.col("lo") / bin_size), F.floor(F.col("hi") / bin_size)))
-    inside = inside.withColumn("bin", covered if after else begin)
-    o = p.select("tig_id", F.col("read_id").alias("other_id"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"), (begin if after else covered).alias("bin"))
-    first = F.struct("lo", "hi", "read_id") < F.struct(F.col("olo").alias("lo"), F.col("ohi").alias("hi"), F.col("other_id").alias("read_id"))
-    size, reach = (F.col("hi") - F.col("olo"), F.col("olo")) if after else (F.col("ohi") - F.col("lo"), F.col("ohi"))
-    j = inside.join(o, ["tig_id", "bin"]).where((first if after else ~first) & (F.col("read_id") != F.col("other_id")) & (size > 0))
-    best = j.groupBy("tig_id", "read_id", "rlo", "rhi").agg(F.max(F.struct(size.alias("thickness"), (-F.col("other_id")).alias("neg"), reach.alias("reach"))).alias("b"))
+    p = p.withColumn("near", near).join(far, ["tig_id", "bin"]).withColumn("best", F.greatest("near", "far")).where("best is not null")
+    size = F.col("hi") + F.col("best.reach") if after else F.col("best.reach") - F.col("lo")
+    at = F.explode(F.sequence(F.floor(F.col("rlo") / BIN), F.floor(F.col("rhi") / BIN)))
+    r = regions.select("tig_id", "rlo", "rhi", at.alias("at"))
+    inside = p.withColumn("thickness", size).where("thickness > 0").withColumn("at", F.floor(edge / BIN)).join(r, ["tig_id", "at"]).where(edge.between(F.col("rlo"), F.col("rhi")))
+    best = inside.groupBy("tig_id", "read_id", "rlo", "rhi").agg(F.max(F.struct("thickness", "best.neg", (-F.col("best.reach") if after else F.col("best.reach")).alias("reach"))).alias("b"))
     return best.where(F.col("b.reach").between(F.col("rlo"), F.col("rhi"))).select("tig_id", "read_id", (-F.col("b.neg")).alias("other_id"), F.col("b.thickness").alias("thickness"))
 
 
