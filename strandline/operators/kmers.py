@@ -1,19 +1,20 @@
-"""k-mer tables: (kmer, count) of canonical k-mers, counted by one combined aggregation.
+"""k-mer tables: (kmer, count) of canonical k-mers, all occurrences of one counted in one place.
 
-Up to k = 31 k-mers travel as integers, made and pre-counted in Arrow batches; longer ones as strings.
+Up to k = 31 k-mers travel as stretches of bases in bins and are counted there as integers; longer ones as strings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.seq import canonical, reverse_complement
+from .kernels import binned as B
 from .kernels import packed as P
 
 #: Bases of a piece: substring() counts from the start of its string, so pieces keep expansion linear.
@@ -47,25 +48,56 @@ def expand_packed(reads: DataFrame, k: int) -> DataFrame:
     return reads.select("read_id", "seq").mapInArrow(run, f"read_id {kind}, pos bigint, kmer bigint, forward boolean")
 
 
-def counted_packed(reads: DataFrame, k: int, key: str) -> DataFrame:
-    """(key, kmer, n): each k-mer of a batch's rows with the same ``key`` once, with its number there."""
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds what one Arrow batch hands to a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def dealt(reads: DataFrame, k: int, key: str | Column, bins: int, positions: bool = False) -> DataFrame:
+    """(bin, stretches): the k-mers of ``reads`` (``key`` bigint, seq) in bins."""
+    bounded_batches(reads.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((x, t) for b in batches for x, t in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True))
+        for chunk in B.pieces(rows, k):
+            found = list(B.deal(chunk, k, bins, positions))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["bin", "stretches"])
+
+    return reads.select(F.col(key) if isinstance(key, str) else key, "seq").mapInArrow(run, "bin int, stretches binary")
+
+
+def n_bins(spark: SparkSession) -> int:
+    return min(8192, max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def by_bin(stretches: DataFrame, kernel: Callable[[list[list[bytes]]], Iterator[tuple[np.ndarray, ...]]], schema: str, merge=None, sides: int = 1) -> DataFrame:
+    """``kernel`` over the stretches of each bin, a list for each ``side``; ``merge`` joins the rows of a task."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    s = stretches if sides > 1 else stretches.withColumn("side", F.lit(0))
+    parts = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = s.select("bin", "side", "stretches").repartition(parts, "bin").sortWithinPartitions("bin")
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[bytes]]]:
+        last, held = None, [[] for _ in range(sides)]
         for b in batches:
-            names = b.column(0).dictionary_encode()
-            code = names.indices.fill_null(len(names.dictionary)).to_numpy().astype(np.int64)
-            found = [(code[text], kmer) for text, _, kmer, _ in P.kmers(_texts(b.column(1)), k)]
-            if not found:
-                continue
-            of, kmer = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((kmer, of))
-            of, kmer = of[order], kmer[order]
-            first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (kmer[1:] != kmer[:-1])]))
-            names_ = pa.concat_arrays([names.dictionary, pa.nulls(1, names.dictionary.type)])
-            yield pa.RecordBatch.from_arrays([names_.take(pa.array(of[first])), pa.array(kmer[first]), pa.array(np.diff(np.append(first, len(of))))], names=[key, "kmer", "n"])
-
-    kind = reads.schema[key].dataType.simpleString()
-    return reads.select(key, "seq").mapInArrow(run, f"`{key}` {kind}, kmer bigint, n bigint")
+            for bin_, side, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if bin_ != last and last is not None:
+                    yield held
+                    held = [[] for _ in range(sides)]
+                last = bin_
+                held[side].append(blob)
+        if last is not None:
+            yield held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for held in bins(batches) for r in kernel(held))
+        for r in B.gathered(rows, merge) if merge else rows:
+            for at in range(0, len(r[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in r], names=names)
+
+    return s.mapInArrow(run, schema)
 
 
 def unpacked(kmer: Column, k: int) -> Column:
@@ -75,8 +107,13 @@ def unpacked(kmer: Column, k: int) -> Column:
 
 def count_packed(reads: DataFrame, k: int) -> DataFrame:
     """(kmer, count) of integer k-mers."""
-    one = reads.select(F.lit(0).alias("all"), "seq")
-    return counted_packed(one, k, "all").groupBy("kmer").agg(F.sum("n").alias("count"))
+
+    def kernel(sides: list[list[bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
+        parts = B.passes(sides[0])
+        for part in range(parts):
+            yield B.counted(sides[0], k, part, parts)[:2]
+
+    return by_bin(dealt(reads, k, F.lit(0).cast("bigint"), n_bins(reads.sparkSession)), kernel, "kmer bigint, count bigint")
 
 
 def count(reads: DataFrame, k: int) -> DataFrame:

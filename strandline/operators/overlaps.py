@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from ..functions import geometry as G
 from ..functions.seq import decode_evalue, seed_minimum
 from . import intervals as I
 from . import kmers as K
+from .kernels import binned as B
 
 
 def seed_pairs(reads: DataFrame, k: int, min_count: int = 2, max_count: int = 100) -> DataFrame:
@@ -34,6 +38,25 @@ def seed_clusters(pairs: DataFrame, lengths: DataFrame, k: int, min_seeds: int =
     return j.groupBy("a_id", "b_id", "flipped").agg(F.count(F.lit(1)).alias("seeds"), F.floor(F.avg(F.col("apos") - F.col("bpos"))).alias("diagonal"), F.min(F.col("apos") - F.col("bpos")).alias("diag_bgn"), F.max(F.col("apos") - F.col("bpos")).alias("diag_end"), F.min("apos").alias("a_first"), F.max("apos").alias("a_last"), F.min(F.struct("apos", "bpos")).alias("seed")).where(F.col("seeds") >= min_seeds).select("a_id", "b_id", "flipped", "seeds", "diagonal", "diag_bgn", "diag_end", "a_first", "a_last", F.col("seed.apos").alias("a_seed"), F.col("seed.bpos").alias("b_seed"))
 
 
+def clusters(reads: DataFrame, k: int, min_count: int = 2, max_count: int = 100, min_seeds: int = 1) -> DataFrame:
+    """``seed_clusters`` of ``seed_pairs`` with the lengths of both (a_len, b_len), for reads (read_id bigint, seq) and k up to 31.
+
+    k-mers meet in bins as stretches of bases, and seeds leave a task as sums by pair and orientation.
+    """
+    names = ("a_id", "b_id", "flipped", "a_len", "b_len", "n", "s", "lo", "hi", "last", "seed")
+    schema = ", ".join(f"{x} {'boolean' if x == 'flipped' else 'bigint'}" for x in names)
+
+    def kernel(sides: list[list[bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
+        for rows in B.occurrences(sides[0], k, min_count, max_count):
+            yield from B.seed_rows(rows, k)
+
+    stretches = K.dealt(reads.where("read_id is not null"), k, "read_id", K.n_bins(reads.sparkSession), positions=True)
+    sums = K.by_bin(stretches, kernel, schema, B.clustered)
+    c, first = F.col, F.shiftright("seed", 32)
+    one = sums.groupBy("a_id", "b_id", "flipped").agg(F.max("a_len").alias("a_len"), F.max("b_len").alias("b_len"), F.sum("n").alias("seeds"), F.sum("s").alias("s"), F.min("lo").alias("diag_bgn"), F.max("hi").alias("diag_end"), F.max("last").alias("a_last"), F.min("seed").alias("seed"))
+    return one.where(c("seeds") >= min_seeds).select("a_id", "b_id", "flipped", "seeds", F.floor(c("s") / c("seeds")).alias("diagonal"), "diag_bgn", "diag_end", first.alias("a_first"), "a_last", first.alias("a_seed"), c("seed").bitwiseAND((1 << 32) - 1).alias("b_seed"), "a_len", "b_len")
+
+
 def enough_seeds(clusters: DataFrame, k: int, erate: float, least: int) -> DataFrame:
     """Drops clusters with fewer seeds than an overlap of their extent is expected to have."""
     return clusters.where(F.col("seeds") >= seed_minimum(k, erate, F.col("a_last") - F.col("a_first") + k, least))
@@ -43,7 +66,7 @@ def from_diagonals(clusters: DataFrame, lengths: DataFrame, evalue: int = 0) ->
     """Overlaps (a_id, b_id, flipped, hangs, evalue, span) that clusters imply: ends are where the shorter side of the diagonal ends."""
     la = lengths.select(F.col("read_id").alias("a_id"), F.col("len").alias("a_len"))
     lb = lengths.select(F.col("read_id").alias("b_id"), F.col("len").alias("b_len"))
-    j = clusters.join(la, "a_id").join(lb, "b_id")
+    j = clusters if {"a_len", "b_len"} <= set(clusters.columns) else clusters.join(la, "a_id").join(lb, "b_id")
     d, tail = F.col("diagonal"), F.col("diagonal") + F.col("b_len") - F.col("a_len")
     zero = F.lit(0).cast("bigint")
     o = j.select("a_id", "b_id", "flipped", F.greatest(d, zero).alias("ahg5"), F.greatest(-tail, zero).alias("ahg3"), F.greatest(-d, zero).alias("bhg5"), F.greatest(tail, zero).alias("bhg3"), F.lit(evalue).cast("bigint").alias("evalue"), "a_len", "b_len", "seeds")

@@ -72,7 +72,8 @@ def kmer_ignore_list(spark, d):
 
 @query(sql("reads", "refs") + ", " + mers("refs", 12) + ", " + mers("reads", 12, "rm") + " SELECT kmer, count(*) AS count FROM km WHERE kmer NOT IN (SELECT kmer FROM rm) GROUP BY kmer")
 def kmer_difference(spark, d):
-    return K.difference(ref_counts(spark, d, 12), K.count(reads(spark, d), 12))
+    left = K.difference(K.count_packed(references(spark, d), 12), K.count_packed(reads(spark, d), 12))
+    return left.select(K.unpacked(F.col("kmer"), 12).alias("kmer"), "count")
 
 
 @query(REF + ", h AS (SELECT freq, n, lead(n) OVER (ORDER BY freq) AS nx FROM (SELECT count AS freq, count(*) AS n FROM kc GROUP BY 1)) SELECT min(freq) + 1 AS min_freq FROM h WHERE nx >= n OR nx IS NULL")
@@ -104,8 +105,7 @@ s AS (SELECT read_id, hap, m / n AS score, row_number() OVER (PARTITION BY read_
 t AS (SELECT read_id, max(hap) FILTER (WHERE rk = 1) AS best, max(score) FILTER (WHERE rk = 1) AS s1, coalesce(max(score) FILTER (WHERE rk = 2), 0) AS s2 FROM s GROUP BY read_id)
 SELECT read_id, CASE WHEN s1 IS NOT NULL AND (s2 = 0 OR s1 / s2 > 1.5) THEN best ELSE 'ambiguous' END AS hap, round(coalesce(s1, 0), 12) AS score FROM reads LEFT JOIN t USING (read_id) WHERE len >= 100""")
 def haplotype_assign(spark, d):
-    specific = H.specific_kmers(parents(spark, d), 16)
-    return H.assign(reads(spark, d), specific, 16, min_ratio=1.5, min_length=100).withColumn("score", F.round("score", 12))
+    return H.assign(reads(spark, d), parents(spark, d), 16, min_ratio=1.5, min_length=100).withColumn("score", F.round("score", 12))
 
 
 _MIN = "mh AS (SELECT DISTINCT read_id, s AS slot, min(md5(kmer || s)) OVER (PARTITION BY read_id, s) AS h FROM km, (SELECT unnest(range(4))::INT AS s))"

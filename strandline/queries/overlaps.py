@@ -51,12 +51,12 @@ cl AS (SELECT a_id, b_id, flipped, count(*) AS seeds, floor(avg(apos - bpos))::B
 
 def clusters(spark, d, least=1):
     r = turned(spark, d)
-    return O.seed_clusters(O.seed_pairs(r, K, 2, 20), r, K, least)
+    return O.clusters(r, K, 2, 20, least)
 
 
 @query(_SEEDS + " SELECT * FROM cl")
 def seed_cluster(spark, d):
-    return clusters(spark, d).drop("a_seed", "b_seed")
+    return clusters(spark, d).drop("a_seed", "b_seed", "a_len", "b_len")
 
 
 @query(_SEEDS + f" SELECT a_id, b_id, flipped, seeds FROM cl WHERE seeds >= greatest(5, floor(exp(-{K} * 0.02) * (a_last - a_first + {K} - {K} + 1)))")
@@ -179,9 +179,7 @@ def clip_to_clear(spark, d):
 
 @query(_SEEDS + f", cs AS (SELECT cl.a_id, cl.b_id, cl.flipped, cl.seeds, sd.apos, sd.bpos FROM cl JOIN (SELECT a_id, b_id, flipped, min((apos, bpos))[1] AS apos, min((apos, bpos))[2] AS bpos FROM sp GROUP BY 1, 2, 3) sd USING (a_id, b_id, flipped)) SELECT a_id, b_id, flipped, seeds FROM cs JOIN reads a ON a.read_id = a_id JOIN reads b ON b.read_id = b_id WHERE NOT (seeds = 1 AND (least(apos, bpos) > 90 OR least(a.len - apos, b.len - bpos) - {K} > 90))")
 def hopeless_check(spark, d):
-    r = turned(spark, d)
-    c = O.with_lengths(clusters(spark, d), r)
-    return A.hopeful(c, K).select("a_id", "b_id", "flipped", "seeds")
+    return A.hopeful(clusters(spark, d), K).select("a_id", "b_id", "flipped", "seeds")
 
 
 @query(_SEEDS + ", w AS (SELECT *, row_number() OVER (PARTITION BY a_id, diagonal >= 0 ORDER BY diagonal, a_id, b_id, flipped) AS ra FROM cl), v AS (SELECT *, row_number() OVER (PARTITION BY b_id, diagonal >= 0 ORDER BY diagonal, a_id, b_id, flipped) AS rb FROM w WHERE ra <= 5) SELECT a_id, b_id, flipped, diagonal FROM v WHERE rb <= 5")
