@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.seq import EVALUE_MAX, EVALUE_SCALE, reverse_complement
+from ..functions.seq import EVALUE_MAX, EVALUE_SCALE
+from . import kmers as K
+from . import overlaps as O
 from .kernels import extend as X
+from .kernels import packed as P
 
 #: Bases that a lone seed may leave unmatched on a side, and distinct overlaps of a pair in one orientation.
 HOPELESS, DISTINCT = 90, 3
@@ -24,23 +28,60 @@ def hopeful(clusters: DataFrame, k: int, limit: int = HOPELESS) -> DataFrame:
     return clusters.where(~((F.col("seeds") == 1) & ((head > limit) | (tail > limit))))
 
 
+def room(bases: Column, erate: float) -> Column:
+    """Two more than the errors that an extension over so many bases may have, at least: Chernoff's bound of ``X.error_bound``."""
+    n = F.greatest(bases, F.lit(0)) * F.lit(erate)
+    return F.floor(n + 6 * F.sqrt(n)) + 20
+
+
 def aligned(clusters: DataFrame, reads: DataFrame, k: int, erate: float) -> DataFrame:
     """(a_id, b_id, flipped, kind, a_bgn, a_end, b_bgn, b_end, errors, a_len, b_len): clusters extended from their seed.
 
-    b is in the orientation of a. Sequences meet their pairs by two joins on read ids; a pair's alignment is one row's work.
+    Reads are (read_id, seq), or ``K.folded`` ones if the clusters have lengths. b is in the orientation of a. A pair meets b first and takes the part of it that the extension can come to, at two bits a base, to a;
+    so reads are dealt out once, and a part of one read for each pair.
     """
-    a = reads.select(F.col("read_id").alias("a_id"), F.col("seq").alias("aseq"))
-    b = reads.select(F.col("read_id").alias("b_id"), F.col("seq").alias("bseq"))
-    turned = F.when(F.col("flipped"), reverse_complement(F.col("bseq"))).otherwise(F.col("bseq"))
-    rows = clusters.select("a_id", "b_id", "flipped", "a_seed", "b_seed").join(a, "a_id").join(b, "b_id").select("a_id", "b_id", "flipped", "a_seed", "b_seed", "aseq", turned.alias("bseq"))
-    rows = rows.repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a_id", "b_id")  # by work, not by bytes
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    K.bounded_batches(reads.sparkSession)
+    if not {"a_len", "b_len"} <= set(clusters.columns):
+        clusters = O.with_lengths(clusters, reads.select("read_id", F.length("seq").alias("len")))
+    c, zero = F.col, F.lit(0).cast("bigint")
+    left, right = F.least("a_seed", "b_seed"), F.least(c("a_len") - c("a_seed"), c("b_len") - c("b_seed")) - k
+    head, tail = room(left, erate), room(right, erate)
+
+    def part(x: str, y: str) -> tuple[Column, Column]:
+        """Begin and end of what an extension of x along y can come to."""
+        return F.greatest(zero, c(f"{x}_seed") - c(f"{y}_seed") - head), F.least(c(f"{x}_len"), c(f"{x}_seed") + c(f"{y}_len") - c(f"{y}_seed") + tail)
+
+    def cut(bases: Column, letters: Column, lo: Column, hi: Column) -> Column:
+        first = F.floor(lo / letters)
+        return F.substring(bases, (first + 1).cast("int"), (F.ceil(hi / letters) - first).cast("int"))
+
+    (a_lo, a_hi), (b_lo, b_hi) = part("a", "b"), part("b", "a")
+    own = F.when(c("flipped"), c("b_len") - b_hi).otherwise(b_lo), F.when(c("flipped"), c("b_len") - b_lo).otherwise(b_hi)
+    keys = ["a_id", "b_id", "flipped", "a_seed", "b_seed", "a_len", "b_len"]
+    pairs = clusters.select(*(c(x) if x == "flipped" else c(x).cast("bigint").alias(x) for x in keys))
+    r = reads if "bases" in reads.columns else K.folded(reads)
+    pairs = pairs.join(r.select(c("read_id").alias("b_id"), c("letters").alias("b_letters"), c("bases").alias("b_bases")), "b_id")
+    pairs = pairs.select(*keys, "b_letters", cut(c("b_bases"), c("b_letters"), *own).alias("b_part"))
+    pairs = pairs.join(r.select(c("read_id").alias("a_id"), c("letters").alias("a_letters"), c("bases").alias("a_bases")), "a_id")
+    rows = pairs.select(*keys, a_lo.alias("a_lo"), a_hi.alias("a_hi"), "a_letters", cut(c("a_bases"), c("a_letters"), a_lo, a_hi).alias("a_part"), b_lo.alias("b_lo"), b_hi.alias("b_hi"), "b_letters", "b_part", left.alias("left"), right.alias("right"))
+
+    def opened(parts: list[bytes], letters: list[int], lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+        return [P.unfolded(t, n)[x % n : x % n + y - x] for t, n, x, y in zip(parts, letters, lo.tolist(), hi.tolist(), strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            found = [(x.a_id, x.b_id, x.flipped, *X.overlap(x.aseq, x.bseq, x.a_seed, x.b_seed, k, erate), len(x.aseq), len(x.bseq)) for x in t.itertuples(index=False)]
-            yield pd.DataFrame(found, columns=["a_id", "b_id", "flipped", "kind", "a_bgn", "a_end", "b_bgn", "b_end", "errors", "a_len", "b_len"])
-
-    return rows.mapInPandas(run, "a_id bigint, b_id bigint, flipped boolean, kind string, a_bgn bigint, a_end bigint, b_bgn bigint, b_end bigint, errors bigint, a_len bigint, b_len bigint")
+            v = {x: t.column(x).to_numpy(zero_copy_only=False) for x in (*keys, "a_lo", "a_hi", "b_lo", "b_hi", "left", "right")}
+            turn = v["flipped"].astype(bool)
+            a = opened(t.column("a_part").to_pylist(), t.column("a_letters").to_pylist(), v["a_lo"], v["a_hi"])
+            lo, hi = np.where(turn, v["b_len"] - v["b_hi"], v["b_lo"]), np.where(turn, v["b_len"] - v["b_lo"], v["b_hi"])
+            b = opened(t.column("b_part").to_pylist(), t.column("b_letters").to_pylist(), lo, hi)
+            b = [P.COMPLEMENT[x[::-1]] if f else x for x, f in zip(b, turn.tolist(), strict=True)]
+            seeds = v["a_seed"], v["b_seed"], v["a_seed"] - v["a_lo"], v["b_seed"] - v["b_lo"]
+            for at, whole, *found in X.overlaps(a, b, seeds, v["left"], v["right"], k, erate):
+                columns = [v["a_id"][at], v["b_id"][at], turn[at], np.where(whole, X.DOVETAIL, X.BRANCH), *found, v["a_len"][at], v["b_len"][at]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a_id", "b_id", "flipped", "kind", "a_bgn", "a_end", "b_bgn", "b_end", "errors", "a_len", "b_len"])
+
+    return rows.mapInArrow(run, "a_id bigint, b_id bigint, flipped boolean, kind string, a_bgn bigint, a_end bigint, b_bgn bigint, b_end bigint, errors bigint, a_len bigint, b_len bigint")
 
 
 def accepted(alignments: DataFrame, min_length: int, erate: float, partial: bool = False) -> DataFrame:

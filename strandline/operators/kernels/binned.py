@@ -14,8 +14,8 @@ import pyarrow as pa
 
 from .packed import _CODE, _words
 
-#: Bases of a chunk that is dealt out at once, and k-mers that a pass over a bin holds.
-CHUNK, PASS = 1 << 21, 1 << 21
+#: Bases of a chunk that is dealt out at once, k-mers that a pass over a bin holds, and rows that a task gathers.
+CHUNK, PASS, ROWS = 1 << 21, 1 << 21, 1 << 20
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0xC2B2AE3D27D4EB4F)
 _HEAD = 8
 
@@ -226,6 +226,62 @@ def clustered(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return a[at], b[at], flipped[at], alen[at], blen[at], n, s, lo, hi, last, seed
 
 
+def _narrowed(columns: list[np.ndarray]) -> bytes:
+    """Columns of 64 bits, each in as few bytes as its values need, compressed together."""
+    head, planes = [], []
+    for c in columns:
+        u = c.astype(np.int64).view(np.uint64)
+        top = int(u.max(initial=0))
+        size = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+        head += [len(u), size]
+        planes.append(u.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T.tobytes())
+    body = b"".join(planes)
+    return np.array([len(columns), len(body), *head], np.int64).tobytes() + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _widened(blob: bytes) -> list[np.ndarray]:
+    n, size = (int(x) for x in np.frombuffer(blob, np.int64, 2))
+    head = np.frombuffer(blob, np.int64, 2 * n, 16).reshape(-1, 2).tolist()
+    body, at, out = np.frombuffer(pa.decompress(blob[16 + 16 * n :], size, "zstd", asbytes=True), np.uint8), 0, []
+    for rows, wide in head:
+        planes = body[at : at + rows * wide].reshape(wide, rows)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{wide}").reshape(-1).astype(np.uint64).view(np.int64))
+        at += rows * wide
+    return out
+
+
+def shipped(rows: Iterator[tuple[np.ndarray, ...]], bins: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """(bins, blobs) of rows of ``clustered``, by a and b. A row of one seed has its place alone, which says the rest."""
+
+    def blobs(a, b, flipped, alen, blen, n, s, lo, hi, last, seed) -> tuple[np.ndarray, list[bytes]]:
+        of = (_mixed(_mixed(a, _M1) ^ b.astype(np.uint64), _M2) % np.uint64(bins)).astype(np.uint16 if bins <= 1 << 16 else np.int64)
+        order = np.argsort(of, kind="stable")
+        of, a, b, flipped, alen, blen, n, s, lo, hi, last, seed = (x[order] for x in (of, a, b, flipped, alen, blen, n, s, lo, hi, last, seed))
+        apos, bpos = seed >> 32, seed & 0xFFFFFFFF
+        more = n > 1
+        at = np.flatnonzero(np.concatenate([[len(of) > 0], of[1:] != of[:-1], [len(of) > 0]]))
+        found = []
+        for x, y in zip(at[:-1], at[1:], strict=True):
+            m = x + np.flatnonzero(more[x:y])
+            found.append(_narrowed([np.diff(a[x:y], prepend=0), b[x:y], flipped[x:y] * 2 + more[x:y], alen[x:y], blen[x:y], apos[x:y], bpos[x:y], n[m], s[m] - n[m] * lo[m], apos[m] - bpos[m] - lo[m], hi[m] - lo[m], last[m] - apos[m]]))
+        return of[at[:-1]].astype(np.int32), found
+
+    for r in rows:
+        out = blobs(*r)
+        del r
+        yield out
+
+
+def unshipped(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Rows for ``clustered`` of a blob of ``shipped``."""
+    a, b, flags, alen, blen, apos, bpos, n_, s_, lo_, hi_, last_ = _widened(blob)
+    d = apos - bpos
+    n, s, lo, hi, last, m = np.ones(len(a), np.int64), d.copy(), d.copy(), d.copy(), apos.copy(), np.flatnonzero(flags & 1)
+    lo[m] -= lo_
+    n[m], s[m], hi[m], last[m] = n_, s_ + n_ * lo[m], lo[m] + hi_, apos[m] + last_
+    return np.cumsum(a), b, flags > 1, alen, blen, n, s, lo, hi, last, apos << 32 | bpos
+
+
 def seed_rows(rows: tuple[np.ndarray, ...], k: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Rows for ``clustered`` of the seeds of occurrences; a seed has apos in the high and bpos in the low half, so seeds sort by apos, then bpos."""
     for a, b, flipped, alen, blen, apos, bpos in seeds(*rows, k):
@@ -239,11 +295,13 @@ def gathered(rows: Iterator[tuple[np.ndarray, ...]], merge) -> Iterator[tuple[np
     for r in rows:
         held.append(r)
         size += len(r[0])
-        if size > PASS:
+        del r
+        if size > ROWS:
             held = [merge(held)]
             size = len(held[0][0])
-            if size > PASS // 2:
-                yield held[0]
-                held, size = [], 0
+            if size > ROWS // 2:
+                size = 0
+                yield held.pop()
     if held:
-        yield merge(held)
+        held = [merge(held)]
+        yield held.pop()

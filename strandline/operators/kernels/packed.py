@@ -16,6 +16,31 @@ BLOCK = 1 << 18
 _CODE = np.full(256, 4, np.uint8)
 _CODE[np.frombuffer(b"ACGT", np.uint8)] = range(4)
 
+#: The four letters of a byte of ``folded`` texts, and the complement of a letter.
+_FOUR = np.frombuffer(b"ACGT", np.uint8)[np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3].copy().view("<u4").reshape(-1)
+COMPLEMENT = np.frombuffer(bytes(range(256)).translate(bytes.maketrans(b"ACGT", b"TGCA")), np.uint8)
+
+
+def folded(text: bytes) -> tuple[int, bytes]:
+    """(letters a byte, bytes): four bases to a byte and a last byte that says how many are lacking, or the text as it is if it has other letters."""
+    code = _CODE[np.frombuffer(text, np.uint8)]
+    if len(code) and code.max() > 3:
+        return 1, text
+    lacking = -len(code) % 4
+    c = np.concatenate([code, np.zeros(lacking, np.uint8)]).reshape(-1, 4)
+    return 4, (c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6).tobytes() + bytes([lacking])
+
+
+def unfolded(part: bytes, letters: int) -> np.ndarray:
+    """Letters of bytes of what ``folded`` gave, but its last."""
+    x = np.frombuffer(part, np.uint8)
+    return x if letters == 1 else _FOUR[x].view(np.uint8)
+
+
+def text(blob: bytes, letters: int) -> bytes:
+    """What ``folded`` gave this for."""
+    return blob if letters == 1 else unfolded(blob[:-1], 4).tobytes()[: 4 * len(blob) - 4 - blob[-1]]
+
 
 def _words(code: np.ndarray, k: int, reverse: bool) -> np.ndarray:
     """Words of k codes at each position, the first code highest, or lowest if ``reverse``."""

@@ -32,7 +32,7 @@ def expand(reads: DataFrame, k: int, oriented: bool = False) -> DataFrame:
     return mers.select("read_id", "pos", kmer, (F.col("fwd") == canonical(F.col("fwd"))).alias("forward")) if oriented else mers.select("read_id", "pos", kmer)
 
 
-def _texts(column: pa.Array) -> list[bytes]:
+def texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
@@ -41,7 +41,7 @@ def expand_packed(reads: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, pos, kmer, forward in P.kmers(_texts(b.column(1)), k):
+            for text, pos, kmer, forward in P.kmers(texts(b.column(1)), k):
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array(pos), pa.array(kmer), pa.array(forward)], names=["read_id", "pos", "kmer", "forward"])
 
     kind = reads.schema["read_id"].dataType.simpleString()
@@ -54,26 +54,47 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def folded(reads: DataFrame) -> DataFrame:
+    """(read_id, letters, bases) of reads (read_id, seq): ``letters`` bases a byte."""
+    bounded_batches(reads.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.column(1).null_count:
+                b = b.filter(b.column(1).is_valid())
+            found = [P.folded(t) for t in texts(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["read_id", "letters", "bases"])
+
+    r = reads.where("read_id is not null").select(F.col("read_id").cast("bigint").alias("read_id"), "seq")
+    return r.mapInArrow(run, "read_id bigint, letters int, bases binary")
+
+
 def dealt(reads: DataFrame, k: int, key: str | Column, bins: int, positions: bool = False) -> DataFrame:
-    """(bin, stretches): the k-mers of ``reads`` (``key`` bigint, seq) in bins."""
+    """(bin, stretches): the k-mers of ``reads`` (``key`` bigint, seq), or of ``folded`` ones, in bins."""
     bounded_batches(reads.sparkSession)
+    columns = ["letters", "bases"] if "bases" in reads.columns else ["seq"]
+
+    def opened(b: pa.RecordBatch) -> list[bytes]:
+        if len(columns) == 1:
+            return texts(b.column(1))
+        return [P.text(t, n) for n, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((x, t) for b in batches for x, t in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True))
+        rows = ((x, t) for b in batches for x, t in zip(b.column(0).to_pylist(), opened(b), strict=True))
         for chunk in B.pieces(rows, k):
             found = list(B.deal(chunk, k, bins, positions))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["bin", "stretches"])
 
-    return reads.select(F.col(key) if isinstance(key, str) else key, "seq").mapInArrow(run, "bin int, stretches binary")
+    return reads.select(F.col(key) if isinstance(key, str) else key, *columns).mapInArrow(run, "bin int, stretches binary")
 
 
 def n_bins(spark: SparkSession) -> int:
     return min(8192, max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def by_bin(stretches: DataFrame, kernel: Callable[[list[list[bytes]]], Iterator[tuple[np.ndarray, ...]]], schema: str, merge=None, sides: int = 1) -> DataFrame:
-    """``kernel`` over the stretches of each bin, a list for each ``side``; ``merge`` joins the rows of a task."""
+def by_bin(stretches: DataFrame, kernel: Callable[[list[list[bytes]]], Iterator[tuple[np.ndarray, ...]]], schema: str, merge=None, sides: int = 1, leave=None) -> DataFrame:
+    """``kernel`` over the stretches of each bin, a list for each ``side``; ``merge`` joins the rows of a task, ``leave`` makes what it gives of them."""
     names = [x.split()[0] for x in schema.split(", ")]
     s = stretches if sides > 1 else stretches.withColumn("side", F.lit(0))
     parts = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -93,7 +114,8 @@ def by_bin(stretches: DataFrame, kernel: Callable[[list[list[bytes]]], Iterator[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for held in bins(batches) for r in kernel(held))
-        for r in B.gathered(rows, merge) if merge else rows:
+        rows = B.gathered(rows, merge) if merge else rows
+        for r in leave(rows) if leave else rows:
             for at in range(0, len(r[0]), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in r], names=names)
 

@@ -39,9 +39,9 @@ def seed_clusters(pairs: DataFrame, lengths: DataFrame, k: int, min_seeds: int =
 
 
 def clusters(reads: DataFrame, k: int, min_count: int = 2, max_count: int = 100, min_seeds: int = 1) -> DataFrame:
-    """``seed_clusters`` of ``seed_pairs`` with the lengths of both (a_len, b_len), for reads (read_id bigint, seq) and k up to 31.
+    """``seed_clusters`` of ``seed_pairs`` with the lengths of both (a_len, b_len), for reads (read_id bigint, seq), or ``K.folded`` ones, and k up to 31.
 
-    k-mers meet in bins as stretches of bases, and seeds leave a task as sums by pair and orientation.
+    k-mers meet in bins as stretches of bases; seeds leave a task as sums by pair and orientation, which meet in bins of pairs.
     """
     names = ("a_id", "b_id", "flipped", "a_len", "b_len", "n", "s", "lo", "hi", "last", "seed")
     schema = ", ".join(f"{x} {'boolean' if x == 'flipped' else 'bigint'}" for x in names)
@@ -51,10 +51,17 @@ def clusters(reads: DataFrame, k: int, min_count: int = 2, max_count: int = 100,
             yield from B.seed_rows(rows, k)
 
     stretches = K.dealt(reads.where("read_id is not null"), k, "read_id", K.n_bins(reads.sparkSession), positions=True)
-    sums = K.by_bin(stretches, kernel, schema, B.clustered)
+    bins = min(8192, 8 * int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sums = K.by_bin(stretches, kernel, "bin int, stretches binary", B.clustered, leave=lambda rows: B.shipped(rows, bins))
+
+    def whole(sides: list[list[bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
+        rows = B.clustered([B.unshipped(x) for x in sides[0]])
+        use = np.flatnonzero(rows[5] >= min_seeds)
+        yield tuple(x[use] for x in rows)
+
     c, first = F.col, F.shiftright("seed", 32)
-    one = sums.groupBy("a_id", "b_id", "flipped").agg(F.max("a_len").alias("a_len"), F.max("b_len").alias("b_len"), F.sum("n").alias("seeds"), F.sum("s").alias("s"), F.min("lo").alias("diag_bgn"), F.max("hi").alias("diag_end"), F.max("last").alias("a_last"), F.min("seed").alias("seed"))
-    return one.where(c("seeds") >= min_seeds).select("a_id", "b_id", "flipped", "seeds", F.floor(c("s") / c("seeds")).alias("diagonal"), "diag_bgn", "diag_end", first.alias("a_first"), "a_last", first.alias("a_seed"), c("seed").bitwiseAND((1 << 32) - 1).alias("b_seed"), "a_len", "b_len")
+    one = K.by_bin(sums, whole, schema)
+    return one.select("a_id", "b_id", "flipped", c("n").alias("seeds"), F.floor(c("s") / c("n")).alias("diagonal"), c("lo").alias("diag_bgn"), c("hi").alias("diag_end"), first.alias("a_first"), c("last").alias("a_last"), first.alias("a_seed"), c("seed").bitwiseAND((1 << 32) - 1).alias("b_seed"), "a_len", "b_len")
 
 
 def enough_seeds(clusters: DataFrame, k: int, erate: float, least: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import alignment as A
 from ..operators import overlaps as O
+from ..operators.kmers import folded
 from ..tables import READ_LEN, load, overlaps, reads, sql
 from . import register
 from .intervals import depths, merged
@@ -190,8 +191,8 @@ def limit_per_read(spark, d):
 @query()
 def aligned_overlaps(spark, d):
     """Seeds of pairs with 20 or more extended to overlaps, accepted at 10 % errors."""
-    r = turned(spark, d)
-    found = A.accepted(A.aligned(clusters(spark, d, 20), r, K, 0.1), 50, 0.1, partial=True)
+    r = folded(turned(spark, d)).repartition("read_id")  # an exchange that seeds and both joins read
+    found = A.accepted(A.aligned(O.clusters(r, K, 2, 20, 20), r, K, 0.1), 50, 0.1, partial=True)
     return A.emitted(A.distinct(found))
 
 

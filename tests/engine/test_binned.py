@@ -99,3 +99,21 @@ def test_haplotypes(spark):
             want[i] = (s[0][1] if sure else "ambiguous", round(-s[0][0], 12) if s else 0.0)
     got = {x.read_id: (x.hap, round(x.score, 12)) for x in H.assign(df, df, 8, 1.5, 20).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("low", [0, -5, 1 << 40])
+def test_rows_of_seeds_travel_whole(low):
+    """Sums by pair are the same after a shuffle as before it, in a few bytes a row."""
+    r = np.random.default_rng(6)
+    n = 20_000
+    a, b = low + r.integers(0, 400, n), low + 400 + r.integers(0, 3000, n)
+    apos, bpos, of = r.integers(0, 5000, n), r.integers(0, 90_000, n), r.integers(0, 2, n) > 0
+    d, one = apos - bpos, np.ones(n, np.int64)
+    rows = B.clustered([(a, b, of, a * 0 + 5100, b * 0 + 90_100, one, d, d, d, apos, apos << 32 | bpos)])
+    assert 0 < (rows[5] > 1).sum() < len(rows[5])
+    [(bins, blobs)] = B.shipped(iter([rows]), 13)
+    assert sorted(bins.tolist()) == list(range(13))
+    back = B.clustered([B.unshipped(x) for x in blobs])
+    assert all((x == y).all() for x, y in zip(rows, back, strict=True))
+    assert sum(map(len, blobs)) < 16 * len(rows[0]) or low
+    assert not list(B.shipped(iter([]), 13))
